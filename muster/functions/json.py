@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The path of the document within the variants that `with_document` adds.
+DOCUMENT = "$[0]"
 
-def strict_json(text: Column) -> Column:
-    """The one JSON document a text holds as a variant, or null where it is not exactly one.
+
+def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that later filters do not compute again.
+
+    A filter on a plain column is pushed below its computation, which is then done twice. Filters
+    are not pushed below `explode`, here of one element.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_document(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add a variant with the text's JSON document at `DOCUMENT`, null if it is not exactly one.
 
     `try_parse_json` stops after the first document and accepts whatever follows it. So the text
     is parsed as the first element of an array whose second is the text's own hash: anything
     between or after the two shows as a wrong or further element. Repeated keys are an error
     unless the session sets `spark.sql.variant.allowDuplicateKeys`.
     """
-    mark = F.xxhash64(text)
-    pair = F.try_parse_json(
-        F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]"))
-    )
+    mark = F.xxhash64(F.col(text))
+    wrapped = F.concat(F.lit("["), F.col(text), F.lit(","), mark.cast("string"), F.lit("]"))
+    pair = F.col("__pair")
     whole = (F.try_variant_get(pair, "$[1]", "bigint") == mark) & F.try_variant_get(
         pair, "$[2]", "variant"
     ).isNull()
-    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+    return computed_once(df, F.try_parse_json(wrapped), "__pair").select(
+        *(F.col(f"`{column}`") for column in df.columns), F.when(whole, pair).alias(name)
+    )

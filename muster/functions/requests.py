@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.functions.json import strict_json
+from muster.functions.json import DOCUMENT, computed_once, with_document
 
 _NAME_SETS = ("workers_to_keep", "workers_to_delete")
+_FIELDS = f"struct<amount: variant, {', '.join(f'{name}: variant' for name in _NAME_SETS)}>"
 
 
 def _reason(test: Column, name: str) -> Column:
@@ -25,57 +26,52 @@ def validate_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     taken = {"amount", *_NAME_SETS, "reasons"} & set(requests.columns)
     if taken:
         raise ValueError(f"columns would be overwritten: {sorted(taken)}")
-    carried = [requests[name] for name in requests.columns]
-    parsed = requests.select(*carried, strict_json(requests[body]).alias("__doc"))
-    doc = F.col("__doc")
-    fields = parsed.select(
+    documents = with_document(requests, body, "__doc").select(
         *requests.columns,
-        F.coalesce(F.schema_of_variant(doc), F.lit("")).alias("__kind"),
-        F.schema_of_variant(F.try_variant_get(doc, "$.amount", "variant")).alias("__amount"),
-        F.try_variant_get(doc, "$.amount", "bigint").alias("amount"),
-        *(
-            column
-            for name in _NAME_SETS
-            for column in (
-                F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")).alias(
-                    f"__{name}_kind"
-                ),
-                F.try_variant_get(doc, f"$.{name}", "array<variant>").alias(f"__{name}"),
-            )
+        F.col("__doc").isNotNull().alias("__valid"),
+        F.try_variant_get("__doc", DOCUMENT, _FIELDS).alias("__fields"),
+    )
+    # The types are looked up by name: casts to bigint and string accept other JSON types too.
+    fields = computed_once(
+        documents,
+        F.struct(
+            F.schema_of_variant(F.col("__fields.amount")).alias("amount_type"),
+            F.try_variant_get("__fields.amount", "$", "bigint").alias("amount"),
+            *(
+                F.schema_of_variant(F.col(f"__fields.{name}")).alias(f"{name}_type")
+                for name in _NAME_SETS
+            ),
+            *(
+                F.array_distinct(
+                    F.try_variant_get(f"__fields.{name}", "$", "array<string>")
+                ).alias(name)
+                for name in _NAME_SETS
+            ),
         ),
+        "__read",
     )
 
-    is_object = F.col("__kind").startswith("OBJECT<")
-    is_integer = F.col("__amount") == "BIGINT"
+    valid, is_object = F.col("__valid"), F.col("__fields").isNotNull()
+    amount_type, amount = F.col("__read.amount_type"), F.col("__read.amount")
     reasons = [
-        _reason(F.col("__kind") == "", "json_invalid"),
-        _reason((F.col("__kind") != "") & ~is_object, "model_type"),
-        _reason(is_object & F.col("__amount").isNull(), "amount:missing"),
-        _reason(is_object & F.col("__amount").isNotNull() & ~is_integer, "amount:int_type"),
-        _reason(is_integer & (F.col("amount") < 0), "amount:greater_than_equal"),
+        _reason(~valid, "json_invalid"),
+        _reason(valid & ~is_object, "model_type"),
+        _reason(is_object & amount_type.isNull(), "amount:missing"),
+        _reason(amount_type != "BIGINT", "amount:int_type"),
+        _reason((amount_type == "BIGINT") & (amount < 0), "amount:greater_than_equal"),
     ]
     for name in _NAME_SETS:
-        kind, items = F.col(f"__{name}_kind"), F.col(f"__{name}")
+        kind, names = F.col(f"__read.{name}_type"), F.col(f"__read.{name}")
         is_array = kind.startswith("ARRAY<")
-        strings = F.forall(items, lambda item: F.schema_of_variant(item) == "STRING")
+        strings = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(names, F.isnull)
         reasons += [
             _reason((kind != "VOID") & ~is_array, f"{name}:set_type"),
             _reason(is_array & ~strings, f"{name}:string_type"),
         ]
+    accepted = F.size("reasons") == 0
     return fields.withColumn("reasons", F.array_compact(F.array(*reasons))).select(
         *requests.columns,
-        F.when(F.size("reasons") == 0, F.col("amount")).alias("amount"),
-        *(
-            F.when(
-                F.size("reasons") == 0,
-                F.array_distinct(
-                    F.transform(
-                        F.col(f"__{name}"), lambda item: F.try_variant_get(item, "$", "string")
-                    )
-                ),
-            ).alias(name)
-            for name in _NAME_SETS
-        ),
+        *(F.when(accepted, F.col(f"__read.{n}")).alias(n) for n in ("amount", *_NAME_SETS)),
         "reasons",
     )
 

@@ -36,9 +36,11 @@ def covering_paths(paths: DataFrame, column: str = "path") -> DataFrame:
     """
     path = F.col("path")
     known = paths.select(F.col(column).alias("path")).where(path.isNotNull()).distinct()
-    folders = known.select(_parent(path).alias("folder")).where("folder is not null").distinct()
-    above = folders.select("folder", F.explode(_self_and_ancestors(F.col("folder"))).alias("path"))
-    covered = above.join(known, "path", "left_semi").select("folder")
+    folders = known.select(_parent(path).alias("folder")).distinct()
+    above = folders.select("folder", F.explode(_self_and_ancestors(F.col("folder"))).alias("part"))
+    # Null-safe equality gives both sides a shuffle of their own. Reusing the one of distinct()
+    # would keep adaptive execution from splitting the partition of a part most folders share.
+    covered = above.join(known, F.col("part").eqNullSafe(path), "left_semi").select("folder")
     return (
         known.withColumn("folder", _parent(path))
         .join(covered, "folder", "left_anti")

@@ -15,8 +15,9 @@ def with_max_over(df: DataFrame, value: str, keys: list[str], name: str) -> Data
     Same rows as `F.max(value).over(Window.partitionBy(*keys))`. A window would bring every row
     of a key into one task; here the maxima are aggregated before the shuffle and joined back.
     Spark broadcasts them where their size is below its threshold. Beyond it, adaptive execution
-    splits the partition of a key that holds much of the rows. `df` must give the same rows each
-    time it is read.
+    splits the partition of a key that holds much of the rows; it can because null-safe equality
+    shuffles the maxima once more, apart from their aggregation. `df` must give the same rows
+    each time it is read.
     """
     if not keys:
         raise ValueError("a window needs at least one key")

@@ -7,13 +7,15 @@ from typing import Literal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.functions.json import strict_json
+from muster.functions.json import DOCUMENT, computed_once, with_document
 from muster.sources.locations import OPEN_POLICY, AccessPolicy, Location, scan
 
 LEDGER_FILES = "report.*.jsonl"
 
 MissingParams = Literal["fail", "route"]
 
+_PARAMS = "struct<sequence: bigint, clusters: array<struct<stopped_at: string>>>"
+
 # Any character that is not white space, Unicode separators included.
 _INK = r"(?U)[^\s\x1c-\x1f]"
 
@@ -35,34 +37,26 @@ def parse_reports(
 
     Blank lines are dropped. Every other line gives a row with `line`, `sequence`, `clusters` and
     `reason`: null for a report, `bad_json` for a line that is not one whole JSON document (it is
-    still being written), `no_params` for a document without params. The last kind fails the job
-    unless it is to be routed. `line` keeps the fields that are not read here.
+    still being written), `no_params` for a document without an object of params. The last kind
+    fails the job unless it is to be routed. `line` keeps the fields that are not read here.
     """
     if missing_params not in ("fail", "route"):
         raise ValueError(f"missing_params is 'fail' or 'route', got {missing_params!r}")
-    documents = lines.where(F.col(text).rlike(_INK)).select(
-        F.col(text).alias("line"), strict_json(F.col(text)).alias("__doc")
+    inked = lines.where(F.col(text).rlike(_INK)).select(F.col(text).alias("line"))
+    read = computed_once(
+        with_document(inked, "line", "__doc"),
+        F.try_variant_get("__doc", f"{DOCUMENT}.params", _PARAMS),
+        "__params",
     )
-    doc = F.col("__doc")
-    params = F.try_variant_get(doc, "$.params", "variant")
-    reason = F.when(doc.isNull(), F.lit("bad_json")).when(
-        params.isNull(),
+    no_params = (
         F.lit("no_params")
         if missing_params == "route"
-        else F.raise_error(F.concat(F.lit("a report has no params: "), F.col("line"))),
-    )
-    clusters = F.transform(
-        F.try_variant_get(doc, "$.params.clusters", "array<variant>"),
-        lambda cluster: F.struct(
-            F.try_variant_get(cluster, "$.stopped_at", "string").alias("stopped_at")
-        ),
+        else F.raise_error(F.concat(F.lit("a report has no params: "), F.col("line")))
     )
-    return documents.select(
-        "line",
-        F.try_variant_get(doc, "$.params.sequence", "bigint").alias("sequence"),
-        clusters.alias("clusters"),
-        reason.alias("reason"),
+    reason = F.when(F.col("__doc").isNull(), F.lit("bad_json")).when(
+        F.col("__params").isNull(), no_params
     )
+    return read.select("line", "__params.sequence", "__params.clusters", reason.alias("reason"))
 
 
 def good_reports(parsed: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from muster.functions.requests import validate_requests
 from muster.functions.scaling import added_names, clamp_requests, plan_changes
+from muster.operators import pool
 from muster.operators.compare import bag_difference
 from muster.operators.ledger import (
     cluster_rows,
@@ -19,7 +20,6 @@ from muster.operators.ledger import (
     open_clusters,
 )
 from muster.operators.paths import covering_paths
-from muster.operators.pool import live_names, next_worker_number, scaling_status
 from muster.operators.windows import with_max_over
 from muster.plans.run import execute, with_partitions
 from muster.plans.scratch import scratch_location
@@ -395,7 +395,7 @@ _POOLS = """
 
 @query(f"WITH {_LIVE} SELECT DISTINCT cluster_id, name FROM live")
 def live_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live_names(tables.actor_records(spark, sf_dir))
+    return pool.live_names(tables.actor_records(spark, sf_dir))
 
 
 @query(
@@ -408,8 +408,8 @@ def live_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY p.cluster_id
     """
 )
-def next_free_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next_worker_number(
+def next_worker_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool.next_worker_number(
         tables.pools(spark, sf_dir), tables.actor_records(spark, sf_dir)
     )
 
@@ -423,8 +423,8 @@ def next_free_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY p.cluster_id
     """
 )
-def pool_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaling_status(tables.pools(spark, sf_dir), tables.actor_records(spark, sf_dir))
+def scaling_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pool.scaling_status(tables.pools(spark, sf_dir), tables.actor_records(spark, sf_dir))
 
 
 @query(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from muster.functions.json import computed_once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,8 +31,10 @@ def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     params = F.struct((event + 1).alias("sequence"), clusters.alias("clusters"))
-    report = F.to_json(F.struct(params.alias("params")), {"ignoreNullFields": "false"})
-    return table(spark, sf_dir, "events").select(
+    text = F.to_json(F.struct(params.alias("params")), {"ignoreNullFields": "false"})
+    report = F.col("report")
+    events = table(spark, sf_dir, "events")
+    return computed_once(events, text, "report").select(
         F.when(event % 101 == 0, F.lit("   "))
         .when(event % 97 == 0, F.substr(report, F.lit(1), (F.length(report) / 2).cast("int")))
         .when(event % 89 == 0, _one_of(event, ['{"nope":1}', "[1]"]))
