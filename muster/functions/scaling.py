@@ -17,6 +17,11 @@ def worker_number(name: Column) -> Column:
     return F.nullif(digits, F.lit("")).try_cast("bigint")
 
 
+def next_number(highest: Column) -> Column:
+    """The number after the highest, 0 where there is none, null where it would exceed 64 bits."""
+    return F.try_add(F.coalesce(highest, F.lit(-1).cast("bigint")), F.lit(1).cast("bigint"))
+
+
 def worker_name(number: Column) -> Column:
     return F.concat(F.lit(f"{WORKER_PREFIX}-"), number.cast("string"))
 
@@ -87,16 +92,14 @@ def plan_changes(
         .when(F.col("desired") == 0, F.col("__live"))
         .when(
             (F.size("__delete") == 0) & (F.size("__keep") == 0),
-            F.slice(F.array_sort("__live"), F.lit(1), surplus.cast("int")),
+            F.slice(F.array_sort("__live"), F.lit(1), F.greatest(surplus, F.lit(0)).cast("int")),
         )
         .otherwise(named)
     )
     return (
         staged.withColumns(
             {
-                "add_first": F.when(
-                    surplus < 0, F.coalesce(F.col("__highest"), F.lit(-1)) + F.lit(1)
-                ).cast("bigint"),
+                "add_first": F.when(surplus < 0, next_number(F.col("__highest"))),
                 "add_count": F.greatest(-surplus, F.lit(0)),
                 "remove": F.array_sort(remove),
             }

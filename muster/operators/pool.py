@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muster.functions.scaling import WORKER_PREFIX, worker_number
+from muster.functions.scaling import WORKER_PREFIX, next_number, worker_number
 
 
 def _live(records: DataFrame, prefix: str) -> DataFrame:
@@ -30,8 +30,7 @@ def next_worker_number(pools: DataFrame, records: DataFrame) -> DataFrame:
         .agg(F.max(worker_number(F.col("name"))).alias("__highest"))
     )
     return pools.join(highest, "cluster_id", "left").select(
-        "cluster_id",
-        (F.coalesce(F.col("__highest"), F.lit(-1).cast("bigint")) + 1).alias("next_number"),
+        "cluster_id", next_number(F.col("__highest")).alias("next_number")
     )
 
 
