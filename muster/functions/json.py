@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.functions.columns import own_columns
+
 # The path of the document within the variants that `with_document` adds.
 DOCUMENT = "$[0]"
 
@@ -33,5 +35,5 @@ def with_document(df: DataFrame, text: str, name: str) -> DataFrame:
         pair, "$[2]", "variant"
     ).isNull()
     return computed_once(df, F.try_parse_json(wrapped), "__pair").select(
-        *(F.col(f"`{column}`") for column in df.columns), F.when(whole, pair).alias(name)
+        *own_columns(df), F.when(whole, pair).alias(name)
     )

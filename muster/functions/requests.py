@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.functions.columns import own_columns, refuse_columns
 from muster.functions.json import DOCUMENT, computed_once, with_document
 
 _NAME_SETS = ("workers_to_keep", "workers_to_delete")
@@ -12,7 +13,7 @@ _FIELDS = f"struct<amount: variant, {', '.join(f'{name}: variant' for name in _N
 
 
 def _reason(test: Column, name: str) -> Column:
-    return F.when(F.coalesce(test, F.lit(False)), F.lit(name))
+    return F.when(test, F.lit(name)).otherwise(F.lit(""))
 
 
 def validate_requests(requests: DataFrame, body: str = "body") -> DataFrame:
@@ -23,11 +24,9 @@ def validate_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     amount a JSON integer of at most 64 bits that is not negative, and each set of names absent,
     null or an array of strings. Other fields are ignored.
     """
-    taken = {"amount", *_NAME_SETS, "reasons"} & set(requests.columns)
-    if taken:
-        raise ValueError(f"columns would be overwritten: {sorted(taken)}")
+    refuse_columns(requests, "amount", *_NAME_SETS, "reasons")
     documents = with_document(requests, body, "__doc").select(
-        *requests.columns,
+        *own_columns(requests),
         F.col("__doc").isNotNull().alias("__valid"),
         F.try_variant_get("__doc", DOCUMENT, _FIELDS).alias("__fields"),
     )
@@ -69,8 +68,8 @@ def validate_requests(requests: DataFrame, body: str = "body") -> DataFrame:
             _reason(is_array & ~strings, f"{name}:string_type"),
         ]
     accepted = F.size("reasons") == 0
-    return fields.withColumn("reasons", F.array_compact(F.array(*reasons))).select(
-        *requests.columns,
+    return fields.withColumn("reasons", F.array_remove(F.array(*reasons), "")).select(
+        *own_columns(requests),
         *(F.when(accepted, F.col(f"__read.{n}")).alias(n) for n in ("amount", *_NAME_SETS)),
         "reasons",
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.functions.columns import refuse_columns
+
 WORKER_PREFIX = "worker"
 
 # Names generated by one row of `added_names` before it is split further.
@@ -35,6 +37,7 @@ def clamp_requests(
     requests: DataFrame, amount: str = "amount", low: str = "min", high: str = "max"
 ) -> DataFrame:
     """Add `desired`, the amount within its bounds, and whether that `changed` it."""
+    refuse_columns(requests, "desired", "changed")
     desired = clamped(F.col(amount), F.col(low), F.col(high))
     return requests.withColumns({"desired": desired, "changed": desired != F.col(amount)})
 
@@ -65,6 +68,9 @@ def plan_changes(
     as not given. With no names given the surplus goes, first names first. Named removals are
     not brought to the desired size, so `planned_size` can differ from it.
     """
+    refuse_columns(
+        requests, "desired", "available", "add_first", "add_count", "remove", "planned_size"
+    )
     staged = requests.withColumns(
         {
             "desired": clamped(F.col(amount), F.col(low), F.col(high)),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from muster.functions.columns import own_columns, refuse_columns
+
 
 def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """The rows that the two frames hold in different numbers, with both numbers.
@@ -16,6 +18,7 @@ def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
         raise ValueError(f"the frames differ in columns: {_shape(left)} and {_shape(right)}")
     if len(set(names)) != len(names):
         raise ValueError("column names must be distinct")
+    refuse_columns(left, "left_count", "right_count")
     sides = left.withColumns(
         {"left_count": F.lit(1).cast("bigint"), "right_count": F.lit(0).cast("bigint")}
     ).unionByName(
@@ -23,7 +26,7 @@ def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
             {"left_count": F.lit(0).cast("bigint"), "right_count": F.lit(1).cast("bigint")}
         )
     )
-    counts = sides.groupBy(*(F.col(f"`{name}`") for name in names)).agg(
+    counts = sides.groupBy(*own_columns(left)).agg(
         F.sum("left_count").alias("left_count"), F.sum("right_count").alias("right_count")
     )
     return counts.where(F.col("left_count") != F.col("right_count"))

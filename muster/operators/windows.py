@@ -21,13 +21,14 @@ def with_max_over(df: DataFrame, value: str, keys: list[str], name: str) -> Data
     """
     if not keys:
         raise ValueError("a window needs at least one key")
-    peaks = df.groupBy(*(df[key].alias(f"__key{i}") for i, key in enumerate(keys))).agg(
-        F.max(df[value]).alias("__max")
+    own = {column: df[f"`{column}`"] for column in df.columns}
+    peaks = df.groupBy(*(own[key].alias(f"__key{i}") for i, key in enumerate(keys))).agg(
+        F.max(own[value]).alias("__max")
     )
     same = reduce(
-        and_, (df[key].eqNullSafe(peaks[f"__key{i}"]) for i, key in enumerate(keys))
+        and_, (own[key].eqNullSafe(peaks[f"__key{i}"]) for i, key in enumerate(keys))
     )
-    columns = [peaks["__max"].alias(name) if c == name else df[c] for c in df.columns]
+    columns = [peaks["__max"].alias(c) if c == name else own[c] for c in df.columns]
     if name not in df.columns:
         columns.append(peaks["__max"].alias(name))
     return df.join(peaks, same, "left").select(*columns)

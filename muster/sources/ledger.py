@@ -26,8 +26,9 @@ def ledger_lines(
     files: str = LEDGER_FILES,
     policy: AccessPolicy = OPEN_POLICY,
 ) -> DataFrame:
-    """The raw lines of a ledger's files, as `value`."""
-    return scan(spark, ledger.child(files), "text", policy=policy)
+    """The raw lines of the files directly in a ledger's folder, as `value`."""
+    options = {"pathGlobFilter": files}
+    return scan(spark, ledger, "text", options=options, policy=policy).select("value")
 
 
 def parse_reports(

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql.streaming import DataStreamReader
@@ -159,13 +160,16 @@ class AccessPolicy:
 OPEN_POLICY = AccessPolicy()
 
 
-def _prepared[R: (DataFrameReader, DataStreamReader)](
-    reader: R,
+_Reader = TypeVar("_Reader", DataFrameReader, DataStreamReader)
+
+
+def _prepared(
+    reader: _Reader,
     location: Location,
     format: str,
     schema: StructType | str | None,
     options: Mapping[str, object] | None,
-) -> R:
+) -> _Reader:
     _check_options(options)
     reader = reader.format(format).options(**{**(options or {}), **location.options})
     return reader if schema is None else reader.schema(schema)

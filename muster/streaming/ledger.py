@@ -33,12 +33,15 @@ def ingest_reports(
     written once. The query stops when it has taken in all present files, in batches of
     `files_per_trigger`; with an `interval` it goes on looking for new ones. A file is read when
     it is first seen and lines appended later are not: ledgers must be closed before they appear
-    here, or be read in batch.
+    here, or be read in batch. Streams keep their logs with the session's own file-system settings,
+    so object stores have to be set up there.
     """
     policy.check_sink(table)
     policy.check_sink(checkpoint)
-    limit = {} if files_per_trigger is None else {"maxFilesPerTrigger": files_per_trigger}
-    lines = scan_stream(spark, ledger.child(files), "text", options=limit, policy=policy)
+    options: dict[str, object] = {"pathGlobFilter": files}
+    if files_per_trigger is not None:
+        options["maxFilesPerTrigger"] = files_per_trigger
+    lines = scan_stream(spark, ledger, "text", options=options, policy=policy)
     parsed = parse_reports(lines, missing_params=missing_params)
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
     return (

@@ -20,18 +20,20 @@ def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ledger line for each event: most are reports, some blank, cut short or without params."""
     event = F.col("event_id")
     stop = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    numbers = F.filter(
-        F.array(*(F.lit(i).cast("bigint") for i in range(3))), lambda i: i < event % 4
-    )
-    clusters = F.transform(
-        numbers,
-        lambda i: F.struct(
-            F.concat(F.lit("c"), i.cast("string")).alias("id"),
-            F.when((event + i) % 3 != 0, stop).alias("stopped_at"),
-        ),
+    clusters = []
+    for i in range(3):
+        stopped_at = F.when((event + i) % 3 == 0, "null").otherwise(
+            F.concat(F.lit('"'), stop, F.lit('"'))
+        )
+        cluster = F.concat(F.lit(f'{{"id":"c{i}","stopped_at":'), stopped_at, F.lit("}"))
+        clusters.append(F.when(event % 4 > i, cluster))
+    text = F.concat(
+        F.lit('{"params":{"sequence":'),
+        (event + 1).cast("string"),
+        F.lit(',"clusters":['),
+        F.concat_ws(",", *clusters),
+        F.lit("]}}"),
     )
-    params = F.struct((event + 1).alias("sequence"), clusters.alias("clusters"))
-    text = F.to_json(F.struct(params.alias("params")), {"ignoreNullFields": "false"})
     report = F.col("report")
     events = table(spark, sf_dir, "events")
     return computed_once(events, text, "report").select(
@@ -123,15 +125,11 @@ def scale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pool_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live names at the moment of each request; an empty pool has no snapshot."""
     event = F.col("event_id")
-    numbers = F.filter(
-        F.array(*(F.lit(i).cast("bigint") for i in range(7))), lambda i: i < event % 8
-    )
-    names = F.transform(
-        numbers,
-        lambda i: F.when(i == 6, F.lit("workerX")).otherwise(
-            F.concat(F.lit("worker-"), ((event + i * 3) % 23).cast("string"))
-        ),
-    )
+    workers = [
+        F.concat(F.lit("worker-"), ((event + i * 3) % 23).cast("string")) for i in range(6)
+    ]
+    count = F.least(event % 8, F.lit(7)).cast("int")
+    names = F.slice(F.array(*workers, F.lit("workerX")), F.lit(1), count)
     return (
         table(spark, sf_dir, "events")
         .select(

@@ -51,6 +51,12 @@ def test_dotted_names(spark):
     assert same_rows(df, df)
 
 
+def test_count_columns_are_not_overwritten(spark):
+    df = spark.range(1).withColumnRenamed("id", "left_count")
+    with pytest.raises(ValueError):
+        bag_difference(df, df)
+
+
 def test_one_shuffle(spark):
     df = spark.range(10)
     plan = bag_difference(df, df)._jdf.queryExecution().executedPlan().toString()

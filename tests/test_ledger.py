@@ -52,6 +52,10 @@ def test_reports_of_the_files(spark, ledger):
     }
 
 
+def test_folder_without_reports(spark, tmp_path):
+    assert read_reports(spark, Location.local(str(tmp_path))).isEmpty()
+
+
 def test_dead_letters(spark, ledger):
     parsed = parse_reports(ledger_lines(spark, Location.local(str(ledger))), missing_params="route")
     assert {tuple(row) for row in dead_letters(parsed).collect()} == {
@@ -206,6 +210,22 @@ def test_stream_reads_each_file_once(spark, ledger, tmp_path):
     assert latest_report(ingested_reports(spark, place)).first().sequence == 4
 
 
+def test_stream_goes_on_at_an_interval(spark, ledger, tmp_path):
+    query = ingest_reports(
+        spark,
+        *(Location.local(str(p)) for p in (ledger, tmp_path / "table", tmp_path / "progress")),
+        missing_params="route",
+        interval="200 milliseconds",
+    )
+    try:
+        query.processAllAvailable()
+        (ledger / "report.2.jsonl").write_text(THREE + "\n")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert ingested_reports(spark, Location.local(str(tmp_path / "table"))).count() == 4
+
+
 def test_stream_prunes_dead_letters(spark, ledger, tmp_path):
     run_ingest(spark, ledger, tmp_path)
     reports = ingested_reports(spark, Location.local(str(tmp_path / "table")))

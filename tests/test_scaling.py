@@ -110,6 +110,20 @@ def test_generated_cases(spark):
         assert len(row.remove) == len(remove)
 
 
+def test_columns_are_not_overwritten(spark):
+    df = spark.createDataFrame([(1, 0, 2, 3)], "amount long, min long, max long, desired long")
+    with pytest.raises(ValueError):
+        clamp_requests(df)
+    with pytest.raises(ValueError):
+        plan_changes(df)
+
+
+def test_number_beyond_64_bits(spark):
+    top = w(2**63 - 1)
+    row = planned(spark, [(top, 2, 0, None, None, None)]).first()
+    assert (row.desired, row.add_first, row.add_count) == (2, None, 1)
+
+
 def test_request_for_very_many(spark):
     plans = planned(spark, [(w(4), 200_001, 0, None, None, None)])
     names = added_names(plans, "id")

@@ -58,6 +58,13 @@ def test_existing_column_is_replaced_in_place(spark):
     assert sorted(map(tuple, with_max_over(df, "a", ["c"], "a").collect())) == [(2, 4, 0)] * 2
 
 
+def test_dotted_names(spark):
+    df = spark.createDataFrame([(1, 4), (2, 4)], "`a.x` long, `b.y` long")
+    found = with_max_over(df, "a.x", ["b.y"], "c.z")
+    assert found.columns == ["a.x", "b.y", "c.z"]
+    assert sorted(map(tuple, found.collect())) == [(1, 4, 2), (2, 4, 2)]
+
+
 def test_needs_a_key(spark):
     with pytest.raises(ValueError):
         with_max_over(spark.range(1), "id", [], "c")
