@@ -47,6 +47,7 @@ def execute(
     With `to` the rows go there. Otherwise they go to a folder of this run below `results`, and
     the result carries a preview read back from it, so previewing never reruns the query.
     """
+    policy.check_frame(df)
     if to is not None:
         sink(df, to, policy=policy)
         return RunResult(to, None)

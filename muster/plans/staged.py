@@ -17,12 +17,20 @@ Stage = tuple[str, Callable[[SparkSession, DataFrame | None], DataFrame]]
 
 @dataclass(frozen=True)
 class StagedRun:
-    """The last stage's frame, and which stages this run computed and checkpointed."""
+    """The last stage's frame, and which stages this run computed and checkpointed.
+
+    Where the result builds on a stage in executor storage, `release` frees that.
+    """
 
     result: DataFrame
     computed: tuple[str, ...]
     checkpointed: tuple[str, ...]
     resumed_from: str | None
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
 
 
 def run_staged(
@@ -90,6 +98,7 @@ def run_staged(
         tuple(names[first:]),
         tuple(checkpointed),
         names[done[-1]] if done else None,
+        held,
     )
 
 

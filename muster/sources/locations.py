@@ -142,7 +142,8 @@ class AccessPolicy:
     """Whether local disks may be read and written.
 
     Every file below a location belongs to the location's file system, so its scheme decides and
-    no file has to be listed for the check.
+    no file has to be listed to check a location. Frames that were not read through `scan` are
+    checked by the names of their input files. Spark does not name those of a cached frame.
     """
 
     allow_local_scans: bool = True
@@ -152,6 +153,13 @@ class AccessPolicy:
         if location.is_local and not self.allow_local_scans:
             raise PermissionError(f"local scans are disabled: {location.uri}")
 
+    def check_frame(self, df: DataFrame) -> None:
+        if self.allow_local_scans:
+            return
+        local = next((name for name in df.inputFiles() if name.startswith("file:")), None)
+        if local is not None:
+            raise PermissionError(f"local scans are disabled: {local}")
+
     def check_sink(self, location: Location) -> None:
         if location.is_local and not self.allow_local_sinks:
             raise PermissionError(f"local sinks are disabled: {location.uri}")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.functions.requests import validate_requests
@@ -46,6 +46,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _text(name: str) -> Column:
+    """A number that may be missing, as text: data frames of other engines turn it into a float."""
+    return F.col(name).cast("string").alias(name)
+
+
 # --- queries, runs and comparison ---------------------------------------------------------------
 
 _ORDER_PEAKS = """
@@ -336,14 +341,16 @@ def ledger_open_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      ELSE range(cluster_count) END) AS position, stops
         FROM reports
     )
-    SELECT sequence, CAST(position AS INTEGER) AS position,
+    SELECT sequence, CAST(position AS VARCHAR) AS position,
            stops[CAST(position AS INTEGER) + 1] AS stopped_at
     FROM shown
     """
 )
 def ledger_cluster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cluster_rows(good_reports(_parsed(spark, sf_dir)))
-    return rows.select("sequence", "position", F.col("cluster.stopped_at").alias("stopped_at"))
+    return rows.select(
+        "sequence", _text("position"), F.col("cluster.stopped_at").alias("stopped_at")
+    )
 
 
 @query(
@@ -429,19 +436,20 @@ def next_worker_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     WITH {_LIVE}, {_POOLS}
     SELECT p.cluster_id, count(DISTINCT l.name) AS available, any_value(desired) AS desired,
-           any_value(min) AS min, any_value(max) AS max
+           any_value(min) AS min, CAST(any_value(max) AS VARCHAR) AS max
     FROM pools p LEFT JOIN live l ON p.cluster_id = l.cluster_id
     GROUP BY p.cluster_id
     """
 )
 def scaling_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool.scaling_status(tables.pools(spark, sf_dir), tables.actor_records(spark, sf_dir))
+    status = pool.scaling_status(tables.pools(spark, sf_dir), tables.actor_records(spark, sf_dir))
+    return status.select("cluster_id", "available", "desired", "min", _text("max"))
 
 
 @query(
     """
     SELECT event_id,
-           CASE WHEN event_id % 11 IN (0, 9, 10) THEN user_id END AS amount,
+           CASE WHEN event_id % 11 IN (0, 9, 10) THEN CAST(user_id AS VARCHAR) END AS amount,
            CASE WHEN event_id % 11 NOT IN (0, 9, 10) THEN NULL
                 WHEN user_id = 1 THEN 'worker-1'
                 ELSE 'worker-' || user_id || ',worker-1' END AS workers_to_keep,
@@ -462,7 +470,7 @@ def scale_request_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = validate_requests(tables.request_bodies(spark, sf_dir))
     return requests.select(
         "event_id",
-        "amount",
+        _text("amount"),
         F.array_join("workers_to_keep", ",").alias("workers_to_keep"),
         F.array_join("reasons", ",").alias("reasons"),
     )
@@ -532,7 +540,7 @@ def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     WITH {_PLANS}
     SELECT user_id AS cluster_id, event_id AS snapshot_id, desired, available,
-           add_first, add_count, array_to_string(removed, ',') AS removed,
+           CAST(add_first AS VARCHAR) AS add_first, add_count, array_to_string(removed, ',') AS removed,
            available + add_count - len(removed) AS planned_size
     FROM plans
     """
@@ -543,7 +551,7 @@ def scale_request_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "snapshot_id",
         "desired",
         "available",
-        "add_first",
+        _text("add_first"),
         "add_count",
         F.array_join("remove", ",").alias("removed"),
         "planned_size",

@@ -68,8 +68,12 @@ def test_policy(spark, tmp_path):
     place = Location.local(str(tmp_path))
     with pytest.raises(PermissionError):
         execute(spark.range(5), results=place, policy=AccessPolicy(allow_local_sinks=False))
-    run = execute(spark.range(5), results=place, policy=AccessPolicy(allow_local_scans=False))
+    closed = AccessPolicy(allow_local_scans=False)
+    run = execute(spark.range(5), results=place, policy=closed)
     assert run.head.count() == 5
+    joined = spark.range(3).join(spark.read.parquet(run.location.uri), "id")
+    with pytest.raises(PermissionError):
+        execute(joined, results=place, policy=closed)
 
 
 def test_partition_counts(spark):

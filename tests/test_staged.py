@@ -78,6 +78,9 @@ def test_nothing_is_written_before_the_period(spark, place):
     calls = []
     run = run_staged(spark, stages(calls), run_id="r", checkpoints=place, period_seconds=3600)
     assert run.checkpointed == () and run.result.first().total == 328350
+    assert run.held.is_cached
+    run.release()
+    assert run.result.first().total == 328350
     again = []
     run_staged(spark, stages(again), run_id="r", checkpoints=place, period_seconds=3600)
     assert again == ["numbers", "squares", "total"]
