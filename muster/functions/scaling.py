@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from muster.functions.columns import refuse_columns
 
+# The prefix of worker names, and the form of those with a number.
 WORKER_PREFIX = "worker"
+_NUMBERED_WORKER = "^worker-([0-9]+)$"
 
 # Names generated by one row of `added_names` before it is split further.
 _NAMES_PER_CHUNK = 65_536
@@ -15,7 +17,7 @@ _NAMES_PER_CHUNK = 65_536
 
 def worker_number(name: Column) -> Column:
     """The number at the end of a numbered worker's name, null for any other name."""
-    digits = F.regexp_extract(name, f"^{WORKER_PREFIX}-([0-9]+)$", 1)
+    digits = F.regexp_extract(name, _NUMBERED_WORKER, 1)
     return F.nullif(digits, F.lit("")).try_cast("bigint")
 
 

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from muster.functions.scaling import WORKER_PREFIX, next_number, worker_number
 
 
+# Fixed value: the state of an actor that is gone.
+_DEAD = "DEAD"
+
+
 def _live(records: DataFrame, prefix: str) -> DataFrame:
-    alive = ~F.col("state").eqNullSafe("DEAD")
+    alive = ~F.col("state").eqNullSafe(_DEAD)
     return records.where(alive & F.col("name").startswith(prefix)).select("cluster_id", "name")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from muster.functions.json import DOCUMENT, computed_once, with_document
 from muster.sources.locations import OPEN_POLICY, AccessPolicy, Location, scan
 
+# Fixed value: the names of a ledger's files.
 LEDGER_FILES = "report.*.jsonl"
 
 MissingParams = Literal["fail", "route"]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,47 @@ def test_only_one_whole_document_is_a_report(spark, line):
     assert parse(spark, [line]).first().reason == "bad_json"
 
 
+def test_damaged_lines_are_judged_like_a_json_parser(spark):
+    draw = random.Random(5)
+    whole = [TWO, THREE, '{"nope":[1,2.5e3,{"a":"b\\n"}]}', '[1,{"params":{}}]', '"x \\" y"', "-1.5"]
+    bits = ["{", "}", "[", "]", ",", ":", '"', "\\", "null", "1", "-", ".", "e", " ", "\t", "0", "]]"]
+    lines = set()
+    while len(lines) < 4000:
+        line = draw.choice(whole)
+        for _ in range(draw.randrange(4)):
+            start = draw.randrange(len(line) + 1)
+            stop = start + draw.randrange(12)
+            line = draw.choice(
+                [
+                    line[:start],
+                    line[:start] + line[stop:],
+                    line[:stop] + line[start:],
+                    line[:start] + draw.choice(bits) + line[start:],
+                ]
+            )
+        lines.add(line)
+    wanted = {line: judged(line) for line in lines if line.strip()}
+    wanted = {line: reason for line, reason in wanted.items() if reason != "repeated key"}
+    found = parse(spark, list(wanted), missing_params="route").collect()
+    assert {row.line: row.reason for row in found} == wanted
+
+
+def judged(line):
+    def unique(pairs):
+        if len(dict(pairs)) != len(pairs):
+            raise KeyError
+        return dict(pairs)
+
+    try:
+        document = json.loads(line, object_pairs_hook=unique)
+    except json.JSONDecodeError:
+        return "bad_json"
+    except KeyError:
+        return "repeated key"
+    has_params = isinstance(document, dict) and isinstance(document.get("params"), dict)
+    return None if has_params else "no_params"
+
+
 @pytest.mark.parametrize("line", ["5", '"x"', "null", "true", "[]", "{}", '{"Params":{}}', "[1,2]"])
 def test_documents_without_params(spark, line):
     assert parse(spark, [line], missing_params="route").first().reason == "no_params"
