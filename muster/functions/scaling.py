@@ -17,8 +17,7 @@ _NAMES_PER_CHUNK = 65_536
 
 def worker_number(name: Column) -> Column:
     """The number at the end of a numbered worker's name, null for any other name."""
-    digits = F.regexp_extract(name, _NUMBERED_WORKER, 1)
-    return F.nullif(digits, F.lit("")).try_cast("bigint")
+    return F.regexp_extract(name, _NUMBERED_WORKER, 1).try_cast("bigint")
 
 
 def next_number(highest: Column) -> Column:
@@ -100,7 +99,7 @@ def plan_changes(
         .when(F.col("desired") == 0, F.col("__live"))
         .when(
             (F.size("__delete") == 0) & (F.size("__keep") == 0),
-            F.slice(F.array_sort("__live"), F.lit(1), F.greatest(surplus, F.lit(0)).cast("int")),
+            F.slice(F.sort_array("__live"), F.lit(1), F.greatest(surplus, F.lit(0)).cast("int")),
         )
         .otherwise(named)
     )
@@ -109,7 +108,7 @@ def plan_changes(
             {
                 "add_first": F.when(surplus < 0, next_number(F.col("__highest"))),
                 "add_count": F.greatest(-surplus, F.lit(0)),
-                "remove": F.array_sort(remove),
+                "remove": F.sort_array(remove),
             }
         )
         .withColumn(
