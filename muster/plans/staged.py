@@ -52,7 +52,8 @@ def run_staged(
     written from there if the period ran out meanwhile. The last stage is left for the caller's
     own action unless its checkpoint is due.
 
-    A `run_id` belongs to one list of stage names and to one running process at a time.
+    A `run_id` belongs to one list of stage names and to one running process at a time. Completed
+    stages are told by the `_SUCCESS` file Spark writes last, so that must not be switched off.
     """
     names = [check_name("stage name", name) for name, _ in stages]
     if not names or len(set(names)) != len(names):

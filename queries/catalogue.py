@@ -576,14 +576,12 @@ def scale_request_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""
     WITH found AS (
-        SELECT page_id, regexp_replace(
-                   regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1), '/+$', '') AS path
-        FROM pages
+        SELECT regexp_extract(url, '^[a-z]+:/(/[^?#]*)', 1) AS bare FROM pages
     ),
     paths AS (
-        SELECT path FROM found
+        SELECT regexp_replace(bare, '/+$', '') AS path FROM found
         UNION
-        SELECT '/' || split_part(path, '/', 2) FROM found WHERE page_id % 50 = 0
+        SELECT '/' || split_part(bare, '/', 2) FROM found WHERE ends_with(bare, '/')
     )
     SELECT path, CAST(len(string_split(path, '/')) AS INTEGER) AS depth
     FROM paths p

@@ -142,9 +142,11 @@ def pool_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The path of every page's address, and for some pages its first part as a further path."""
-    path = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]*(/[^?#]*)", 1), "/+$", "")
-    found = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
-    first = F.substring_index("path", "/", 2)
-    both = F.when(F.col("page_id") % 50 == 0, F.array("path", first)).otherwise(F.array("path"))
-    return found.select(F.explode(both).alias("path"))
+    """Host and path of every page's address; one closed by a slash also gives its host alone."""
+    bare = F.regexp_extract("url", "^[a-z]+:/(/[^?#]*)", 1)
+    path = F.regexp_replace("bare", "/+$", "")
+    paths = F.when(
+        F.col("bare").endswith("/"), F.array(path, F.substring_index("bare", "/", 2))
+    ).otherwise(F.array(path))
+    found = table(spark, sf_dir, "pages").select(bare.alias("bare"))
+    return found.select(F.explode(paths).alias("path"))
