@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from queries import catalogue
 
 SF_DIR = "/root/testdata/sf0.01"
 TABLES = (
@@ -16,8 +17,8 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
-QUERIES = __spark_entry__.queries()
-SQL = __spark_entry__.oracle_sql()
+QUERIES = catalogue.QUERIES
+SQL = catalogue.SQL
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,8 @@ def test_entry(spark):
     found = __spark_entry__.entry(spark)
     assert found.columns == ["o_orderkey", "o_custkey", "o_totalprice", "customer_max"]
     assert found.count() == 10
+
+
+def test_entry_registers_these_queries():
+    assert QUERIES.items() <= __spark_entry__.queries().items()
+    assert SQL.items() <= __spark_entry__.oracle_sql().items()
