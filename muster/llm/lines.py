@@ -154,8 +154,12 @@ def _with_owners(keys, sames, owners, out, schema) -> pa.RecordBatch:
 def _near_lines(rows: DataFrame, lines: DataFrame, kind: str) -> DataFrame:
     """h1 and h2 of the lines that an earlier line is near."""
     shared = star_rows(
-        lines.select(F.explode("halves").alias("key"), F.lit(0).cast("long").alias("size"), F.col("h1").alias("node")),
-        0.0,
+        lines.select(
+            F.explode("halves").alias("key"),
+            F.lit(0).cast("long").alias("rank"),
+            F.lit(0).cast("long").alias("size"),
+            F.col("h1").alias("node"),
+        )
     )
     active = durable(shared.select(F.col("node").alias("h1")).distinct())
     candidates = durable(

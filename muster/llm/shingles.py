@@ -3,8 +3,9 @@
 Rows of the incidence matrix are different shingle sets, columns are shingles. Two rows link if
 100 * overlap >= percent * union. The product is taken in blocks of columns, which are shuffle
 partitions, and only over the columns that size bounds leave: of a row's n entries any partner must
-share ceil(percent * n / 100), so the rarest n - that + 1 columns of both rows have one in common.
-What meets there becomes candidate pairs; full rows of candidates are multiplied to exact overlaps.
+share ceil(percent * n / 100), so of its first n - that + 1 + m columns, in any fixed order, at least
+m + 1 are shared. A row with fewer has no partner; pairs that meet in too few of them don't link; of
+what is left, full rows are multiplied to exact overlaps.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.llm.frames import durable, free_name, sent_if_small
@@ -69,9 +70,14 @@ def linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * overlap >= percent * (len(one) + len(other) - overlap)
 
 
+def extra(size: int) -> int:
+    """How many columns the product takes beyond the first that must be shared: the m above."""
+    return size // 12
+
+
 def rarest(sets: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     """The columns of a row that the product needs: those not known as common first, by hash."""
-    need = len(sets) - least_overlap(len(sets), percent) + 1
+    need = len(sets) - least_overlap(len(sets), percent) + 1 + extra(len(sets))
     if len(sets) == 0:
         return sets
     if len(common):
@@ -189,9 +195,10 @@ def near_duplicates(
     with null keys alone is null. Repeated rows reach each other. An empty table gives no rows.
     Other columns are not read.
 
-    Groups are never expanded into all pairs. In each column every row is paired with a hub. What
-    then belongs to different components, though it shares a column, is paired in the end, with
-    sizes that can link; columns that many rows have are used last, so these are few.
+    Groups are never expanded into all pairs. In each column every row is paired with a hub, first
+    with the smallest row, then with one drawn by hash. What belongs to different components even
+    then, though it shares as many columns as links need, is paired in the end; columns that many
+    rows have are used last, so these are few.
     """
     placed = durable(
         _placed(df, key, text, width=width, percent=percent, sample_one_in=sample_one_in)
@@ -215,25 +222,27 @@ def _placed(
     common = _common_columns(rows, width, sample_one_in, 3, 1 << 20)
     members = durable(incidence(rows, "key", "text", width=width, percent=percent, common=common))
     entries = members.where(F.col("columns").isNotNull()).select(
-        F.explode("columns").alias("key"), "size", "node"
-    )
-    groups = durable(star_rows(entries, percent / 100))
-    stars = durable(
-        groups.where("node <> hub").select(F.col("node").alias("one"), F.col("hub").alias("other")).distinct()
+        F.explode("columns").alias("key"), F.col("size").alias("rank"), "size", "node"
     )
-    active = durable(
-        groups.select("node").distinct().join(
-            members.where("size > 0").groupBy("node").agg(F.min(F.struct("key", "same")).alias("at")), "node"
-        )
-    )
-    texts = durable(_texts_of(df, key, text, active))
+    met = durable(star_rows(entries).select("key", "node", "size"))
+    enough = met.groupBy("node", "size").count().where("count > size div 12").select("node")
+    groups = durable(star_rows(met.join(enough, "node").withColumn("rank", F.col("size"))))
+    active = groups.select("node").distinct()
+    texts = durable(_texts_of(df, key, text, members, durable(active)))
+
+    stars = _fewest(_counted(groups).where(_can_link(percent, "count")), 3)
     links = durable(_verified(stars, texts, width, percent))
     found = components(links)
-
-    rest = _across(groups, found, percent).join(stars, ["one", "other"], "left_anti")
-    more = durable(_verified(durable(rest), texts, width, percent))
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
+    mixed = _mixed(groups, found)
+    if mixed.limit(1).count():
+        again = star_rows(mixed.withColumn("rank", F.xxhash64("node", "key")))
+        more = _fewest(_apart(_counted(again), found).where(_can_link(percent)), 16)
+        links = links.unionByName(durable(_verified(more, texts, width, percent)))
+        found = components(links)
+        rest = _across(_mixed(mixed, found), percent)
+        last = durable(_verified(rest, texts, width, percent))
+        if last.limit(1).count():
+            found = components(links.unionByName(last))
     return members.join(found, "node", "left").select(
         "key", "same", "size", F.coalesce("component", "node").alias("component")
     )
@@ -277,9 +286,94 @@ def without_near_duplicates(df: DataFrame, key: str, text: str, **terms: int) ->
     return kept.join(again, matched(), "left_anti").unionByName(once)
 
 
-def _texts_of(df: DataFrame, key: str, text: str, active: DataFrame) -> DataFrame:
+def _counted(groups: DataFrame) -> DataFrame:
+    """Pairs (one, other) of a node and its hubs, with their sizes and in how many columns they
+    are such a pair."""
+    return (
+        groups.where("node <> hub")
+        .groupBy(F.col("node").alias("one"), F.col("hub").alias("other"), "size", F.col("hub_size").alias("other_size"))
+        .count()
+    )
+
+
+def _can_link(percent: int, count: str | None = None) -> Column:
+    """Whether rows of these sizes can link, given the number of product columns they share.
+
+    In the order of columns, one of the two rows' columns end first. To there, all that both rows
+    have is counted, so the overlap is at most the count and what that row has beyond them.
+    """
+
+    def rest(size: Column) -> Column:  # of a row, without its product columns
+        return F.ceil(size * percent / 100) - 1 - F.floor(size / 12)
+
+    one, other = F.col("size"), F.col("other_size")
+    sizes = (one * 100 >= other * percent) & (other * 100 >= one * percent)
+    if count is None:
+        return sizes
+    need = F.ceil((one + other) * percent / (100 + percent))
+    return sizes & (F.col(count) >= need - F.greatest(rest(one), rest(other)))
+
+
+def _fewest(pairs: DataFrame, most: int) -> DataFrame:
+    """Of each node's pairs those with most columns; the others are left to a later step."""
+    best = Window.partitionBy("one").orderBy(F.desc("count"), "other")
+    return durable(
+        pairs.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most).select("one", "other")
+    )
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose nodes are of different components as yet."""
+    mine = found.select(F.col("node").alias("one"), F.col("component").alias("own"))
+    theirs = found.select(F.col("node").alias("other"), F.col("component").alias("their"))
+    return (
+        pairs.join(mine, "one", "left")
+        .join(theirs, "other", "left")
+        .where(F.coalesce("own", "one") != F.coalesce("their", "other"))
+        .drop("own", "their")
+    )
+
+
+def _mixed(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of columns that hold more than one component: key, node, size, component."""
+    placed = groups.select("key", "node", "size").join(found, "node", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "node"))
+    several = (
+        placed.groupBy("key")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low <> high")
+        .select("key")
+    )
+    return durable(placed.join(several, "key", "left_semi"))
+
+
+def _across(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share as many columns as rows of their sizes must."""
+    other = mixed.select(
+        "key",
+        F.col("node").alias("other"),
+        F.col("size").alias("other_size"),
+        F.col("component").alias("other_component"),
+    )
+    return durable(
+        mixed.select("key", F.col("node").alias("one"), "size", "component")
+        .join(other, "key")
+        .where((F.col("component") < F.col("other_component")) & _can_link(percent))
+        .groupBy("one", "other", "size", "other_size")
+        .count()
+        .where(_can_link(percent, "count"))
+        .select("one", "other")
+    )
+
+
+def _texts_of(df: DataFrame, key: str, text: str, members: DataFrame, active: DataFrame) -> DataFrame:
     """node and text of the active nodes, from one row that has the node's set."""
-    wanted = active.select("node", F.col("at.key").alias("own_key"), F.col("at.same").alias("own_same"))
+    wanted = durable(
+        members.join(active, "node")
+        .groupBy("node")
+        .agg(F.min(F.struct("key", "same")).alias("at"))
+        .select("node", F.col("at.key").alias("own_key"), F.col("at.same").alias("own_same"))
+    )
     return (
         df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
         .join(
@@ -289,23 +383,3 @@ def _texts_of(df: DataFrame, key: str, text: str, active: DataFrame) -> DataFram
         .select("node", "text")
         .dropDuplicates(["node"])
     )
-
-
-def _across(groups: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a column, have sizes that can link, and are in different components."""
-    placed = groups.join(found, "node", "left").select(
-        "key", "node", "size", F.coalesce("component", "node").alias("component")
-    )
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    left = durable(placed.join(mixed.where("low <> high").select("key"), "key", "left_semi"))
-    other = left.withColumnsRenamed({"node": "other", "size": "other_size", "component": "other_component"})
-    return (
-        left.join(other, "key")
-        .where(
-            (F.col("component") != F.col("other_component"))
-            & ((F.col("size") > F.col("other_size")) | ((F.col("size") == F.col("other_size")) & (F.col("node") > F.col("other"))))
-            & (F.col("size") * percent <= F.col("other_size") * 100)
-        )
-        .select(F.col("node").alias("one"), "other")
-        .distinct()
-    )

@@ -11,23 +11,24 @@ from pyspark.sql import functions as F
 
 from muster.llm.frames import durable
 
-_NAMES = ["key", "node", "size", "hub"]
+_NAMES = ["key", "node", "size", "hub", "hub_size"]
 
 
-def star_rows(df: DataFrame, ratio: float) -> DataFrame:
-    """The rows of groups of two or more rows, each with a hub: key, node, size, hub.
+def star_rows(df: DataFrame) -> DataFrame:
+    """The rows of groups of two or more nodes, each with a hub: key, node, size, hub, hub_size.
 
-    `df` has key, size and node, all longs and not null. A group is sorted by size, then node. Its
-    first row is a hub; a row whose size times `ratio` is above its hub's size begins another star
-    in the group, so every row is comparable with its hub. With ratio 0 a group is one star.
-    Groups of one row go.
+    `df` has key, rank, size and node, all longs and not null. A group is sorted by rank, then
+    node, and its first row is the hub. A node counts once in a group. Groups of one node go.
 
     Rows are shuffled once by key and sorted; a task then reads them in order and holds one batch
     and the current hub, so a group of any size passes.
     """
-    sizes = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
-        df.select("key", "size", "node").repartition(sizes, "key").sortWithinPartitions("key", "size", "node")
+        df.select("key", "rank", "size", "node")
+        .repartition(partitions, "key")
+        .sortWithinPartitions("key", "rank", "node")
+        .select("key", "size", "node")
     )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,9 +36,10 @@ def star_rows(df: DataFrame, ratio: float) -> DataFrame:
         back = [np.empty(0, np.int64)] * 3  # the last row read, whose next row isn't known yet
         group = hub = hub_size = None
         for batch in batches:
-            keys, rows_sizes, nodes = (
-                np.append(b, c.to_numpy()) for b, c in zip(back, batch.columns, strict=True)
-            )
+            keys, sizes, nodes = (np.append(b, c.to_numpy()) for b, c in zip(back, batch.columns, strict=True))
+            if len(keys) > 1:
+                once = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))
+                keys, sizes, nodes = keys[once], sizes[once], nodes[once]
             if len(keys) == 0:
                 continue
             same = keys[1:] == keys[:-1]
@@ -45,28 +47,24 @@ def star_rows(df: DataFrame, ratio: float) -> DataFrame:
             chosen = np.flatnonzero(with_last[:-1] | same)
             out = []
             for key, size, node in zip(
-                keys[chosen].tolist(), rows_sizes[chosen].tolist(), nodes[chosen].tolist(), strict=True
+                keys[chosen].tolist(), sizes[chosen].tolist(), nodes[chosen].tolist(), strict=True
             ):
-                if key != group or size * ratio > hub_size:
+                if key != group:
                     group, hub, hub_size = key, node, size
-                out.append((key, node, size, hub))
+                out.append((key, node, size, hub, hub_size))
             if out:
                 yield _batch(out)
             before = int(keys[-2]) if len(keys) > 1 else before
-            back = [keys[-1:], rows_sizes[-1:], nodes[-1:]]
+            back = [keys[-1:], sizes[-1:], nodes[-1:]]
         if len(back[0]) and before == back[0][0]:
             key, size, node = (int(c[0]) for c in back)
-            if key != group or size * ratio > hub_size:
-                hub = node
-            yield _batch([(key, node, size, hub)])
+            yield _batch([(key, node, size, hub, hub_size)])
 
-    return ordered.mapInArrow(link, "key long, node long, size long, hub long")
+    return ordered.mapInArrow(link, "key long, node long, size long, hub long, hub_size long")
 
 
-def _batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=_NAMES
-    )
+def _batch(rows: list[tuple[int, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=_NAMES)
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
