@@ -156,7 +156,6 @@ def _near_lines(rows: DataFrame, lines: DataFrame, kind: str) -> DataFrame:
     shared = star_rows(
         lines.select(
             F.explode("halves").alias("key"),
-            F.lit(0).cast("long").alias("rank"),
             F.lit(0).cast("long").alias("size"),
             F.col("h1").alias("node"),
         )

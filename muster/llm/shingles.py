@@ -72,7 +72,7 @@ def linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
 
 def extra(size: int) -> int:
     """How many columns the product takes beyond the first that must be shared: the m above."""
-    return size // 12
+    return size // 24
 
 
 def rarest(sets: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
@@ -185,7 +185,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def near_duplicates(
-    df: DataFrame, key: str, text: str, *, width: int = 5, percent: int = 75, sample_one_in: int = 16
+    df: DataFrame, key: str, text: str, *, width: int = 5, percent: int = 75, sample_one_in: int = 16, crowd: int = 256
 ) -> DataFrame:
     """key, same, size (different shingles), component: for each row the least key that links reach.
 
@@ -197,11 +197,12 @@ def near_duplicates(
 
     Groups are never expanded into all pairs. In each column every row is paired with a hub, first
     with the smallest row, then with one drawn by hash. What belongs to different components even
-    then, though it shares as many columns as links need, is paired in the end; columns that many
-    rows have are used last, so these are few.
+    then is compared in the end: where rows meet in columns that at most `crowd` rows have, pairs
+    with as many columns as links need; rows that meet in a column of more are multiplied in
+    blocks of about `crowd` rows, without the pairs that are of one component already.
     """
     placed = durable(
-        _placed(df, key, text, width=width, percent=percent, sample_one_in=sample_one_in)
+        _placed(df, key, text, width=width, percent=percent, sample_one_in=sample_one_in, crowd=crowd)
     )
     some = placed.where("size > 0")
     least = some.groupBy("component").agg(F.min("key").alias("least"))
@@ -215,18 +216,18 @@ def near_duplicates(
 
 
 def _placed(
-    df: DataFrame, key: str, text: str, *, width: int = 5, percent: int = 75, sample_one_in: int = 16
+    df: DataFrame, key: str, text: str, *, width: int = 5, percent: int = 75, sample_one_in: int = 16, crowd: int = 256
 ) -> DataFrame:
     """key, same, size and component, a node of the row's component."""
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     common = _common_columns(rows, width, sample_one_in, 3, 1 << 20)
     members = durable(incidence(rows, "key", "text", width=width, percent=percent, common=common))
     entries = members.where(F.col("columns").isNotNull()).select(
-        F.explode("columns").alias("key"), F.col("size").alias("rank"), "size", "node"
+        F.explode("columns").alias("key"), "size", "node"
     )
     met = durable(star_rows(entries).select("key", "node", "size"))
-    enough = met.groupBy("node", "size").count().where("count > size div 12").select("node")
-    groups = durable(star_rows(met.join(enough, "node").withColumn("rank", F.col("size"))))
+    enough = met.groupBy("node", "size").count().where("count > size div 24").select("node")
+    groups = durable(star_rows(met.join(enough, "node")))
     active = groups.select("node").distinct()
     texts = durable(_texts_of(df, key, text, members, durable(active)))
 
@@ -235,12 +236,15 @@ def _placed(
     found = components(links)
     mixed = _mixed(groups, found)
     if mixed.limit(1).count():
-        again = star_rows(mixed.withColumn("rank", F.xxhash64("node", "key")))
+        again = star_rows(mixed, F.xxhash64("node", "key"))
         more = _fewest(_apart(_counted(again), found).where(_can_link(percent)), 16)
         links = links.unionByName(durable(_verified(more, texts, width, percent)))
         found = components(links)
-        rest = _across(_mixed(mixed, found), percent)
-        last = durable(_verified(rest, texts, width, percent))
+        mixed = _mixed(mixed, found)
+        usual, crowded = _by_crowd(mixed, crowd)
+        last = durable(_verified(_across(usual, percent), texts, width, percent))
+        if crowded.limit(1).count():
+            last = last.unionByName(_block_product(crowded, texts, width, percent, crowd))
         if last.limit(1).count():
             found = components(links.unionByName(last))
     return members.join(found, "node", "left").select(
@@ -304,7 +308,7 @@ def _can_link(percent: int, count: str | None = None) -> Column:
     """
 
     def rest(size: Column) -> Column:  # of a row, without its product columns
-        return F.ceil(size * percent / 100) - 1 - F.floor(size / 12)
+        return F.ceil(size * percent / 100) - 1 - F.floor(size / 24)
 
     one, other = F.col("size"), F.col("other_size")
     sizes = (one * 100 >= other * percent) & (other * 100 >= one * percent)
@@ -366,6 +370,99 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _by_crowd(mixed: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of columns that at most `crowd` nodes have, and those of the others.
+
+    A pair with no crowded column in common has all its columns among the first, so counting
+    there is whole; a pair with one is among the nodes of the second.
+    """
+    many = mixed.groupBy("key").count().where(F.col("count") > crowd).select("key")
+    many = durable(many)
+    return mixed.join(many, "key", "left_anti"), durable(mixed.join(many, "key", "left_semi"))
+
+
+def _block_product(crowded: DataFrame, texts: DataFrame, width: int, percent: int, crowd: int) -> DataFrame:
+    """Links between nodes of different components that share a crowded column.
+
+    Nodes that such columns connect form a cluster. Its nodes are dealt by hash into blocks of
+    about `crowd`, those of a large component into blocks of its own; every two blocks of a
+    cluster are multiplied in a task of their own, but two of one component.
+    """
+    edges = star_rows(crowded).where("node <> hub").select(F.col("node").alias("one"), F.col("hub").alias("other"))
+    clusters = components(edges.distinct()).select("node", F.col("component").alias("cluster"))
+    nodes = crowded.select("node", "component").distinct().join(clusters, "node")
+    sizes = nodes.groupBy("cluster", "component").agg(F.count("*").alias("rows"))
+    pooled = F.when(F.col("rows") > crowd, F.col("component"))
+    sizes = sizes.withColumn("pool", pooled)
+    pools = sizes.groupBy("cluster", "pool").agg(F.ceil(F.sum("rows") / crowd).alias("blocks"))
+    placed = durable(
+        nodes.join(sizes, ["cluster", "component"])
+        .join(
+            pools.select(F.col("cluster").alias("c"), F.col("pool").alias("p"), "blocks"),
+            (F.col("cluster") == F.col("c")) & F.col("pool").eqNullSafe(F.col("p")),
+        )
+        .select("node", "component", "cluster", "pool", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    )
+    each = F.struct(F.coalesce("pool", F.lit(0)).alias("pool"), F.col("pool").isNull().alias("mixed"), "block")
+    blocks = durable(placed.select("cluster", each.alias("block")).distinct())
+    pairs = (
+        blocks.join(blocks.select("cluster", F.col("block").alias("with")), "cluster")
+        .where("block <= with and (block.mixed or with.mixed or block.pool <> with.pool)")
+        .select("cluster", "block", "with", F.xxhash64("cluster", "block", "with").alias("task"))
+    )
+    sides = F.when(F.col("block") == F.col("with"), F.array("block")).otherwise(F.array("block", "with"))
+    members = placed.select("node", "component", "cluster", each.alias("side"))
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (
+        pairs.select("cluster", "task", F.explode(sides).alias("side"))
+        .join(members, ["cluster", "side"])
+        .join(texts, "node")
+        .select("task", "node", "component", "text")
+        .repartition(partitions, "task")
+        .sortWithinPartitions("task", "node")
+    )
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Words()
+        task, rows = None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for here, node, component, value in zip(*columns, strict=True):
+                if here != task:
+                    yield from _product(rows, percent)
+                    task, rows = here, []
+                rows.append((node, component, shingle_set(value, width, hashes)))
+        yield from _product(rows, percent)
+
+    return durable(dealt.mapInArrow(multiply, "one long, other long"))
+
+
+def _product(rows: list[tuple[int, int, np.ndarray]], percent: int) -> Iterator[pa.RecordBatch]:
+    """The links of a block of the matrix: overlaps of each row with all later ones at once."""
+    if not rows:
+        return
+    nodes = np.array([r[0] for r in rows])
+    parts = np.array([r[1] for r in rows])
+    sizes = np.array([len(r[2]) for r in rows])
+    entries = np.concatenate([r[2] for r in rows])
+    owners = np.repeat(np.arange(len(rows)), sizes)
+    order = np.argsort(entries, kind="stable")
+    entries, owners = entries[order], owners[order]
+    out: list[tuple[int, int]] = []
+    for i, (_, part, own) in enumerate(rows):
+        low = np.searchsorted(entries, own, "left")
+        lengths = np.searchsorted(entries, own, "right") - low
+        starts = np.repeat(low - np.append(0, np.cumsum(lengths)[:-1]), lengths)
+        overlap = np.bincount(owners[starts + np.arange(lengths.sum())], minlength=len(rows))
+        found = 100 * overlap >= percent * (sizes + sizes[i] - overlap)
+        found[: i + 1] = False
+        out += [(int(nodes[i]), int(nodes[j])) for j in np.flatnonzero(found & (parts != part))]
+    if out:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["one", "other"]
+        )
+
+
 def _texts_of(df: DataFrame, key: str, text: str, members: DataFrame, active: DataFrame) -> DataFrame:
     """node and text of the active nodes, from one row that has the node's set."""
     wanted = durable(

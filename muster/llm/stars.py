@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm.frames import durable
@@ -14,20 +14,21 @@ from muster.llm.frames import durable
 _NAMES = ["key", "node", "size", "hub", "hub_size"]
 
 
-def star_rows(df: DataFrame) -> DataFrame:
+def star_rows(df: DataFrame, rank: Column | None = None) -> DataFrame:
     """The rows of groups of two or more nodes, each with a hub: key, node, size, hub, hub_size.
 
-    `df` has key, rank, size and node, all longs and not null. A group is sorted by rank, then
-    node, and its first row is the hub. A node counts once in a group. Groups of one node go.
+    `df` has key, size and node, all longs and not null. A group is sorted by `rank`, an expression
+    over these (if not given, by size), then node, and its first row is the hub. A node counts
+    once in a group. Groups of one node go.
 
     Rows are shuffled once by key and sorted; a task then reads them in order and holds one batch
     and the current hub, so a group of any size passes.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
-        df.select("key", "rank", "size", "node")
+        df.select("key", "size", "node")
         .repartition(partitions, "key")
-        .sortWithinPartitions("key", "rank", "node")
+        .sortWithinPartitions("key", "size" if rank is None else rank, "node")
         .select("key", "size", "node")
     )
 
