@@ -54,16 +54,17 @@ def fit_languages(
     rows = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
+    digest = F.xxhash64("text")
+    texts = rows.groupBy("lang").agg(F.approx_count_distinct(digest).alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in texts.limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return LanguageModel({})
     share = F.lit(0)
-    for name, count in counts.items():  # four times what is needed, for copies and chance
+    for name, count in counts.items():  # four times what is needed, for chance and what is estimated
         low = math.ceil(min(1.0, 4 * texts_per_language / count) * _SPREAD)
         share = F.when(F.col("lang") == name, F.lit(low)).otherwise(share)
-    digest = F.xxhash64("text")
     # lower-cased letters are at most three times as long in characters as in bytes
     sample = (
         rows.where(F.pmod(digest, F.lit(_SPREAD)) < share)
