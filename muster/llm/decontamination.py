@@ -8,14 +8,13 @@ the normalised text become word numbers, and these offsets in the original.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.frames import durable, free_name, with_fields
+from muster.llm.frames import durable, free_name, over_texts, with_fields
 
 # Every byte of a UTF-8 text to its normal form: A-Z lower-cased, other bytes of no word a space.
 _NORMAL = bytes(
@@ -98,8 +97,8 @@ def original_offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int,
 
 
 _FIELDS = (
-    "n_words long, n_hit long, items array<string>, "
-    "spans array<struct<start: int, end: int, first_word: int, last_word: int>>"
+    "n_words: long, n_hit: long, items: array<string>, "
+    "spans: array<struct<start: int, end: int, first_word: int, last_word: int>>"
 )
 _NAMES = ("n_words", "n_hit", "items", "spans")
 
@@ -163,7 +162,7 @@ def _scanned(
         found = found.withColumn(name, _scan(pairs, width)(column))
         if before:
             both = free_name(found, "both")
-            found = found.withColumn(both, F.pandas_udf(_join_hits, _FIELDS)(F.col(before[0]), F.col(name))).drop(name, before[0])
+            found = found.withColumn(both, F.pandas_udf(_join_hits, f"struct<{_FIELDS}>")(F.col(before[0]), F.col(name))).drop(name, before[0])
             name = both
         before = [name]
         if blocks > 1:
@@ -172,21 +171,20 @@ def _scanned(
 
 
 def _scan(pairs: list[tuple[str | None, str | None]], width: int):
-    @F.pandas_udf(_FIELDS)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def prepare():
         scanner = Scanner(pairs, width)
-        for batch in batches:
-            out = []
-            for value in batch:
-                n, hits = scanner.scan(value)
-                runs = merged(hits)
-                spans = [
-                    (*ends, *run) for ends, run in zip(original_offsets(value, runs), runs, strict=True)
-                ]
-                out.append((n, _length(runs), sorted({i for hit in hits for i in hit[2]}), _dicts(spans)))
-            yield pd.DataFrame(out, columns=_NAMES)
-
-    return scan
+
+        def one(value: str | None) -> dict:
+            n, hits = scanner.scan(value)
+            runs = merged(hits)
+            ends = original_offsets(value, runs) if runs else []
+            spans = [(*places, *run) for places, run in zip(ends, runs, strict=True)]
+            found = (n, _length(runs), sorted({i for hit in hits for i in hit[2]}), _dicts(spans))
+            return dict(zip(_NAMES, found, strict=True))
+
+        return lambda batch: [one(v.as_py()) for v in batch]
+
+    return over_texts(prepare, f"struct<{_FIELDS}>")
 
 
 def _join_hits(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:

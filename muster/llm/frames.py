@@ -6,9 +6,13 @@ import atexit
 import re
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from muster.functions.columns import own_columns
 
@@ -66,3 +70,21 @@ def sent_if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
     A larger one is left as it is, for a join by shuffle.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def over_texts(prepare: Callable[[], Callable[[pa.Array], list]], result: str) -> Callable[[Column], Column]:
+    """A column function over texts: `prepare` is called once in a task and gives what turns an
+    array of texts into results.
+
+    Texts stay in the Arrow buffer they came in and are taken from it one at a time, so a task
+    holds one batch, not its texts as Python strings as well.
+    """
+    kind = to_arrow_type(DataType.fromDDL(result))
+
+    @F.arrow_udf(result)
+    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = prepare()
+        for batch in batches:
+            yield pa.array(work(batch), kind)
+
+    return compute

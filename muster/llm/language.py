@@ -8,19 +8,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.frames import with_fields
+from muster.llm.frames import over_texts, with_fields
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _SPREAD = 1 << 30
-FIELDS = "lang string, score double, margin double, accepted boolean"
+FIELDS = "struct<lang: string, score: double, margin: double, accepted: boolean>"
 
 
 @dataclass(frozen=True)
@@ -123,20 +121,20 @@ def language_of(text: Column, model: LanguageModel, *, min_margin: float = 0.004
     Without text, letters or known languages: `unknown`, score and margin 0, not accepted.
     """
 
-    @F.pandas_udf(FIELDS)
-    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def prepare():
         encoders = Encoders(model)
-        for batch in batches:
-            found = []
-            for value in batch:
-                data = letters_of(value) if value is not None else b""
-                if data and encoders.encoders:
-                    found.append(decide(encoders.sizes(data), len(data), min_margin))
-                else:
-                    found.append((unknown, 0.0, 0.0, False))
-            yield pd.DataFrame(found, columns=["lang", "score", "margin", "accepted"])
-
-    return classify(text)
+
+        def one(value: str | None) -> dict:
+            data = letters_of(value) if value is not None else b""
+            if data and encoders.encoders:
+                found = decide(encoders.sizes(data), len(data), min_margin)
+            else:
+                found = (unknown, 0.0, 0.0, False)
+            return dict(zip(("lang", "score", "margin", "accepted"), found, strict=True))
+
+        return lambda batch: [one(v.as_py()) for v in batch]
+
+    return over_texts(prepare, FIELDS)(text)
 
 
 def identify_languages(df: DataFrame, text: str, model: LanguageModel, *, min_margin: float = 0.004) -> DataFrame:

@@ -287,16 +287,16 @@ def without_repeated_lines(df: DataFrame, key: str, text: str, **limits: int) ->
     dropped = dropped.withColumnsRenamed(names)
     column = F.col(f"`{text}`")
 
-    @F.pandas_udf("string")
-    def rest(texts: pd.Series, lines: pd.Series) -> pd.Series:
-        found = []
-        for value, numbers in zip(texts, lines, strict=True):
-            if numbers is None:
-                found.append(None)
-                continue
-            gone = set(numbers)
-            found.append("\n".join(x for i, x in enumerate(value.split("\n")) if i not in gone))
-        return pd.Series(found, dtype=object)
+    def remains(value: str | None, numbers: list[int] | None) -> str | None:
+        if numbers is None:
+            return None
+        gone = set(numbers)
+        return "\n".join(x for i, x in enumerate(value.split("\n")) if i not in gone)
+
+    @F.arrow_udf("string")
+    def rest(texts: pa.Array, lines: pa.Array) -> pa.Array:
+        pairs = zip(texts, lines, strict=True)
+        return pa.array((remains(v.as_py(), n.as_py()) for v, n in pairs), pa.string())
 
     numbers = F.col(names["dropped_lines"])
     remaining = free_name(dropped, free_name(df, "remaining"))

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice, pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muster.llm.frames import over_texts
+
 STATISTICS = (
     "length",
     "upper",
@@ -70,12 +71,7 @@ def statistics_of(text: str | None) -> list[float]:
 def document_statistics(text: Column) -> Column:
     """The statistics of a text as an array of doubles, in the order of STATISTICS."""
 
-    @F.pandas_udf("array<double>")
-    def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([statistics_of(value) for value in batch])
-
-    return compute(text)
+    return over_texts(lambda: lambda batch: [statistics_of(v.as_py()) for v in batch], "array<double>")(text)
 
 
 @dataclass(frozen=True)
@@ -159,13 +155,11 @@ def fit_quality(
 def quality_score(text: Column, model: QualityModel) -> Column:
     """The score of a text, 0 to 1, higher where it is likelier good; null texts as empty ones."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            x = np.array([statistics_of(value) for value in batch]).reshape(-1, len(STATISTICS))
-            yield pd.Series(model.scores(x))
+    def score(batch: pa.Array) -> list[float]:
+        x = np.array([statistics_of(v.as_py()) for v in batch]).reshape(-1, len(STATISTICS))
+        return model.scores(x).tolist()
 
-    return score(text)
+    return over_texts(lambda: score, "double")(text)
 
 
 def learned_quality(
