@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 
 import ahocorasick
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from muster.llm.frames import durable, free_name, over_texts, with_fields
 
@@ -162,7 +164,7 @@ def _scanned(
         found = found.withColumn(name, _scan(pairs, width)(column))
         if before:
             both = free_name(found, "both")
-            found = found.withColumn(both, F.pandas_udf(_join_hits, f"struct<{_FIELDS}>")(F.col(before[0]), F.col(name))).drop(name, before[0])
+            found = found.withColumn(both, _join_hits(F.col(before[0]), F.col(name))).drop(name, before[0])
             name = both
         before = [name]
         if blocks > 1:
@@ -187,18 +189,25 @@ def _scan(pairs: list[tuple[str | None, str | None]], width: int):
     return over_texts(prepare, f"struct<{_FIELDS}>")
 
 
-def _join_hits(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for n, a, b, ids, more in zip(
-        one["n_words"], one["spans"], other["spans"], one["items"], other["items"], strict=True
-    ):
-        starts, stops = {}, {}
-        for span in [*a, *b]:
-            starts[span["first_word"]], stops[span["last_word"]] = span["start"], span["end"]
-        runs = merged([(first, last, ()) for first, last in ((s["first_word"], s["last_word"]) for s in [*a, *b])])
+def _join_hits(one: Column, other: Column) -> Column:
+    """The hits of two scans of the same text as one."""
+    kind = to_arrow_type(DataType.fromDDL(f"struct<{_FIELDS}>"))
+
+    def join(a: dict, b: dict) -> dict:
+        both = [*a["spans"], *b["spans"]]
+        starts = {s["first_word"]: s["start"] for s in both}
+        stops = {s["last_word"]: s["end"] for s in both}
+        runs = merged([(s["first_word"], s["last_word"], ()) for s in both])
         spans = [(starts[first], stops[last], first, last) for first, last in runs]
-        out.append((n, _length(runs), sorted({*ids, *more}), _dicts(spans)))
-    return pd.DataFrame(out, columns=_NAMES)
+        found = (a["n_words"], _length(runs), sorted({*a["items"], *b["items"]}), _dicts(spans))
+        return dict(zip(_NAMES, found, strict=True))
+
+    @F.arrow_udf(f"struct<{_FIELDS}>")
+    def compute(ones: pa.Array, others: pa.Array) -> pa.Array:
+        pairs = zip(ones.to_pylist(), others.to_pylist(), strict=True)
+        return pa.array([join(a, b) for a, b in pairs], kind)
+
+    return compute(one, other)
 
 
 def _length(runs: list[tuple[int, int]]) -> int:

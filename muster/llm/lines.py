@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -177,11 +176,10 @@ def _near_lines(rows: DataFrame, lines: DataFrame, kind: str) -> DataFrame:
     late = texts.withColumnsRenamed({"h1": "late1", "h2": "late2", "norm": "late"})
     early = texts.withColumnsRenamed({"h1": "early1", "h2": "early2", "norm": "early"})
 
-    @F.pandas_udf("boolean")
-    def verify(one: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series(
-            [within_one_edit(a.split(b" "), b.split(b" ")) for a, b in zip(one, other, strict=True)], dtype=bool
-        )
+    @F.arrow_udf("boolean")
+    def verify(one: pa.Array, other: pa.Array) -> pa.Array:
+        pairs = zip(one.to_pylist(), other.to_pylist(), strict=True)
+        return pa.array((within_one_edit(a.split(b" "), b.split(b" ")) for a, b in pairs), pa.bool_())
 
     return (
         pairs.join(late, ["late1", "late2"])

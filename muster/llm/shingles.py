@@ -111,7 +111,7 @@ def _common_columns(rows: DataFrame, width: int, one_in: int, least: int, most:
         .limit(most)
         .select("shingle")
     )
-    return np.sort(counted.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+    return np.sort(counted.toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def incidence(df: DataFrame, key: str, text: str, *, width: int, percent: int, common: np.ndarray) -> DataFrame:
