@@ -20,6 +20,28 @@ def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+# No limit on what a document holds; otherwise as strict as the variant parser, repeated keys apart.
+_NO_LIMITS = {
+    "maxStringLen": "2147483647",
+    "maxNestingDepth": "1000000",
+    "maxNumLen": "2147483647",
+    "allowSingleQuotes": "false",
+}
+
+
+def unlimited_document(text: str, schema: str) -> Column:
+    """A text's JSON object read by a schema, null if it is not exactly one, of any size and depth.
+
+    The same check as in `with_document`, for documents that a variant can't hold.
+    """
+    mark = F.xxhash64(F.col(text))
+    end = F.concat(F.lit(',{"__mark":'), mark.cast("string"), F.lit("}]"))
+    wrapped = F.concat(F.lit("["), F.col(text), end)
+    parts = F.from_json(wrapped, f"array<struct<{schema}, __mark: bigint>>", _NO_LIMITS)
+    whole = (F.size(parts) == 2) & (F.try_element_at(parts, F.lit(2))["__mark"] == mark)
+    return F.when(whole, F.try_element_at(parts, F.lit(1)))
+
+
 def with_document(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add a variant with the text's JSON document at `DOCUMENT`, null if it is not exactly one.
 

@@ -30,8 +30,9 @@ def worker_name(number: Column) -> Column:
 
 
 def clamped(amount: Column, low: Column, high: Column) -> Column:
-    """An amount within its bounds. A null maximum sets no bound; a maximum below low wins."""
-    return F.least(high, F.greatest(low, amount))
+    """An amount within its bounds. A null bound is none; a maximum below low wins. A null amount
+    stays null."""
+    return F.when(amount.isNotNull(), F.least(high, F.greatest(low, amount)))
 
 
 def clamp_requests(
@@ -44,7 +45,16 @@ def clamp_requests(
 
 
 def _names(column: str) -> Column:
-    return F.coalesce(F.col(column), F.array().cast("array<string>"))
+    """A set of names: null names and repetitions go."""
+    given = F.coalesce(F.col(column), F.array().cast("array<string>"))
+    return F.array_distinct(F.array_compact(given))
+
+
+def _fitting_number(name: Column) -> Column:
+    """As `worker_number`, but a number beyond 64 bits fails the job."""
+    message = F.concat(F.lit("a worker number is beyond 64 bits: "), name)
+    number = worker_number(name)
+    return F.when(number.isNull() & name.rlike(_NUMBERED_WORKER), F.raise_error(message).cast("bigint")).otherwise(number)
 
 
 def plan_changes(
@@ -67,7 +77,8 @@ def plan_changes(
     size stays. A larger one loses everything where nothing is desired; else the named workers:
     those to delete and, where some are to be kept, all the others. Names not in the pool count
     as not given. With no names given the surplus goes, first names first. Named removals are
-    not brought to the desired size, so `planned_size` can differ from it.
+    not brought to the desired size, so `planned_size` can differ from it. A request without an
+    amount changes nothing. A pool that would grow past numbers of 64 bits fails the job.
     """
     refuse_columns(
         requests, "desired", "available", "add_first", "add_count", "remove", "planned_size"
@@ -82,9 +93,10 @@ def plan_changes(
             "available": F.size("__live").cast("bigint"),
             "__delete": F.array_intersect(_names(delete), F.col("__live")),
             "__keep": F.array_intersect(_names(keep), F.col("__live")),
-            "__highest": F.array_max(F.transform("__live", worker_number)),
+            "__highest": F.array_max(F.transform("__live", _fitting_number)),
         }
     )
+    no_number = F.raise_error(F.lit("the pool's highest worker number has no successor in 64 bits"))
     surplus = F.col("available") - F.col("desired")
     no_names = F.array().cast("array<string>")
     named = F.array_union(
@@ -95,7 +107,7 @@ def plan_changes(
         ).otherwise(no_names),
     )
     remove = (
-        F.when(surplus <= 0, no_names)
+        F.when(F.col("desired").isNull() | (surplus <= 0), no_names)
         .when(F.col("desired") == 0, F.col("__live"))
         .when(
             (F.size("__delete") == 0) & (F.size("__keep") == 0),
@@ -106,7 +118,7 @@ def plan_changes(
     return (
         staged.withColumns(
             {
-                "add_first": F.when(surplus < 0, next_number(F.col("__highest"))),
+                "add_first": F.when(surplus < 0, F.coalesce(next_number(F.col("__highest")), no_number)),
                 "add_count": F.greatest(-surplus, F.lit(0)),
                 "remove": F.sort_array(remove),
             }
@@ -122,8 +134,9 @@ def added_names(planned: DataFrame, *keys: str) -> DataFrame:
     """The names a plan adds, one row each, beside the plan's key columns.
 
     The range is unfolded in two steps, so a request for any number of workers never becomes one
-    array.
+    array, and its chunks are dealt to all tasks before they become names.
     """
+    tasks = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = F.ceil(F.col("add_count") / F.lit(_NAMES_PER_CHUNK))
     first = F.col("add_first") + F.col("__chunk") * F.lit(_NAMES_PER_CHUNK)
     last = F.least(
@@ -137,6 +150,7 @@ def added_names(planned: DataFrame, *keys: str) -> DataFrame:
             "add_count",
             F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - F.lit(1))).alias("__chunk"),
         )
+        .repartition(tasks, *keys, "__chunk")
         .select(*keys, F.explode(F.sequence(first, last)).alias("__number"))
         .select(*keys, worker_name(F.col("__number")).alias("name"))
     )

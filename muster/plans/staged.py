@@ -73,26 +73,33 @@ def run_staged(
     checkpointed: list[str] = []
     held: DataFrame | None = None
     last_write = clock()
-    for i in range(first, len(names)):
-        frame = stages[i][1](spark, frame)
-        due = clock() - last_write >= period_seconds
-        kept = None
-        if not due and i < len(names) - 1:
-            kept = frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
-            frame.count()
+    kept: DataFrame | None = None
+    try:
+        for i in range(first, len(names)):
+            frame = stages[i][1](spark, frame)
             due = clock() - last_write >= period_seconds
-        if due:
-            sink(frame, folders[i], mode="overwrite", policy=policy)
-            frame = scan(spark, folders[i], schema=frame.schema)
-            checkpointed.append(names[i])
-            last_write = clock()
-        if held is not None and (kept is not None or due):
-            held.unpersist()
-            held = None
-        if kept is not None and due:
-            kept.unpersist()
-        elif kept is not None:
-            held = kept
+            kept = None
+            if not due and i < len(names) - 1:
+                kept = frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+                frame.count()
+                due = clock() - last_write >= period_seconds
+            if due:
+                sink(frame, folders[i], mode="overwrite", policy=policy)
+                frame = scan(spark, folders[i], schema=frame.schema)
+                checkpointed.append(names[i])
+                last_write = clock()
+            if held is not None and (kept is not None or due):
+                held.unpersist()
+                held = None
+            if kept is not None and due:
+                kept.unpersist()
+            elif kept is not None:
+                held = kept
+    except BaseException:
+        for stored in (held, kept):
+            if stored is not None:
+                stored.unpersist()
+        raise
 
     return StagedRun(
         frame,

@@ -7,7 +7,12 @@ from typing import Literal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.functions.json import DOCUMENT, computed_once, with_document
+from muster.functions.json import (
+    DOCUMENT,
+    computed_once,
+    unlimited_document,
+    with_document,
+)
 from muster.sources.locations import OPEN_POLICY, AccessPolicy, Location, scan
 
 # Fixed value: the names of a ledger's files.
@@ -45,17 +50,20 @@ def parse_reports(
     if missing_params not in ("fail", "route"):
         raise ValueError(f"missing_params is 'fail' or 'route', got {missing_params!r}")
     inked = lines.where(F.col(text).rlike(_INK)).select(F.col(text).alias("line"))
-    read = computed_once(
-        with_document(inked, "line", "__doc"),
-        F.try_variant_get("__doc", f"{DOCUMENT}.params", _PARAMS),
-        "__params",
-    )
+    parsed = with_document(inked, "line", "__doc")
+    # what a variant can't hold is read again, without limits
+    large = F.when(F.col("__doc").isNull(), unlimited_document("line", f"params: {_PARAMS}"))
+    whole = computed_once(parsed, large, "__large")
+    small = F.try_variant_get("__doc", f"{DOCUMENT}.params", _PARAMS)
+    read = computed_once(whole, F.coalesce(small, F.col("__large")["params"]), "__params")
     no_params = (
         F.lit("no_params")
         if missing_params == "route"
         else F.raise_error(F.concat(F.lit("a report has no params: "), F.col("line")))
     )
-    reason = F.when(F.col("__doc").isNull(), F.lit("bad_json")).when(
+    reason = F.when(
+        F.col("__doc").isNull() & F.col("__large").isNull(), F.lit("bad_json")
+    ).when(
         F.col("__params").isNull(), no_params
     )
     return read.select("line", "__params.sequence", "__params.clusters", reason.alias("reason"))

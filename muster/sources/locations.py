@@ -8,7 +8,7 @@ credentials never become session-wide state.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import TypeVar
 
@@ -143,7 +143,7 @@ class AccessPolicy:
 
     Every file below a location belongs to the location's file system, so its scheme decides and
     no file has to be listed to check a location. Frames that were not read through `scan` are
-    checked by the names of their input files. Spark does not name those of a cached frame.
+    checked by the root paths in their plan, cached frames too.
     """
 
     allow_local_scans: bool = True
@@ -156,7 +156,7 @@ class AccessPolicy:
     def check_frame(self, df: DataFrame) -> None:
         if self.allow_local_scans:
             return
-        local = next((name for name in df.inputFiles() if name.startswith("file:")), None)
+        local = next((path for path in _root_paths(df) if path.startswith("file:")), None)
         if local is not None:
             raise PermissionError(f"local scans are disabled: {local}")
 
@@ -165,6 +165,22 @@ class AccessPolicy:
             raise PermissionError(f"local sinks are disabled: {location.uri}")
 
 
+def _root_paths(df: DataFrame) -> Iterator[str]:
+    """Where the file relations of a frame's plan begin."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            continue
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation":
+            roots = relation.location().rootPaths()
+            for k in range(roots.size()):
+                path = roots.apply(k)
+                conf = df.sparkSession._jsc.hadoopConfiguration()
+                yield path.getFileSystem(conf).makeQualified(path).toString()
+
+
 OPEN_POLICY = AccessPolicy()
 
 

@@ -25,6 +25,7 @@ def ingest_reports(
     missing_params: MissingParams = "fail",
     files_per_trigger: int | None = None,
     interval: str | None = None,
+    archive: Location | None = None,
     policy: AccessPolicy = OPEN_POLICY,
 ) -> StreamingQuery:
     """Append a ledger's new files to a table, each line once, and start the query doing so.
@@ -33,12 +34,17 @@ def ingest_reports(
     written once. The query stops when it has taken in all present files, in batches of
     `files_per_trigger`; with an `interval` it goes on looking for new ones. A file is read when
     it is first seen and lines appended later are not: ledgers must be closed before they appear
-    here, or be read in batch. Streams keep their logs with the session's own file-system settings,
+    here, or be read in batch. A file is read however old it is. With an `archive`, files that were
+    read are moved there, so that what is listed does not grow. Streams keep their logs with the session's own file-system settings,
     so object stores have to be set up there.
     """
     policy.check_sink(table)
     policy.check_sink(checkpoint)
-    options: dict[str, object] = {"pathGlobFilter": files}
+    # Spark forgets files older than the newest by `maxFileAge`, seven days if not set
+    options: dict[str, object] = {"pathGlobFilter": files, "maxFileAge": "36500d"}
+    if archive is not None:
+        policy.check_sink(archive)
+        options |= {"cleanSource": "archive", "sourceArchiveDir": archive.uri}
     if files_per_trigger is not None:
         options["maxFilesPerTrigger"] = files_per_trigger
     lines = scan_stream(spark, ledger, "text", options=options, policy=policy)

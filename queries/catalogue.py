@@ -25,7 +25,7 @@ from muster.plans.run import execute, with_partitions
 from muster.plans.scratch import scratch_location
 from muster.plans.staged import run_staged
 from muster.sources.ledger import dead_letters, good_reports, parse_reports, read_reports
-from muster.sources.locations import Location, scan, sink
+from muster.sources.locations import AccessPolicy, Location, scan, sink
 from muster.streaming.ledger import ingest_reports, ingested_reports
 from queries import tables
 from queries.tables import table
@@ -54,15 +54,13 @@ def _text(name: str) -> Column:
 # --- queries, runs and comparison ---------------------------------------------------------------
 
 _ORDER_PEAKS = """
-    SELECT o_orderkey, o_custkey, o_totalprice,
-           max(o_totalprice) OVER (PARTITION BY o_custkey) AS customer_max
+    SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey) AS customer_max
     FROM orders
 """
 
 
 def _order_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return with_max_over(orders, "o_totalprice", ["o_custkey"], "customer_max")
+    return with_max_over(table(spark, sf_dir, "orders"), "o_totalprice", ["o_custkey"], "customer_max")
 
 
 @query(_ORDER_PEAKS)
@@ -72,24 +70,81 @@ def window_max_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus,
-           max(l_shipdate) OVER (PARTITION BY l_returnflag, l_linestatus) AS last_shipdate
+    SELECT *, max(l_shipdate) OVER (PARTITION BY l_returnflag, l_linestatus) AS last_shipdate
     FROM lineitem
     """
 )
 def window_max_over_few_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few keys hold all rows: the case a window would bring into a handful of tasks."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"
-    )
     keys = ["l_returnflag", "l_linestatus"]
-    return with_max_over(lines, "l_shipdate", keys, "last_shipdate").drop("l_shipdate")
+    return with_max_over(table(spark, sf_dir, "lineitem"), "l_shipdate", keys, "last_shipdate")
 
 
-@query()
+@query(
+    """
+    SELECT o_orderstatus, count(*) AS orders, max(o_totalprice) AS highest_price
+    FROM orders GROUP BY o_orderstatus
+    """
+)
 def run_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = execute(_order_peaks(spark, sf_dir), results=scratch_location(spark, "results"))
-    return run.head
+    """A stored result of few rows: its preview is all of it."""
+    by_status = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(
+        F.count("*").alias("orders"), F.max("o_totalprice").alias("highest_price")
+    )
+    return execute(by_status, results=scratch_location(spark, "results")).head
+
+
+@query(
+    """
+    SELECT status, meaning, count(o_orderkey) AS orders
+    FROM (VALUES ('O', 'open'), ('F', 'filled'), ('X', 'unknown')) AS t(status, meaning)
+    LEFT JOIN orders ON o_orderstatus = status GROUP BY ALL
+    """
+)
+def literal_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame of literals joined to a table."""
+    meanings = spark.createDataFrame(
+        [("O", "open"), ("F", "filled"), ("X", "unknown")], "status string, meaning string"
+    )
+    orders = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    joined = meanings.join(orders, F.col("status") == F.col("o_orderstatus"), "left")
+    return joined.select("status", "meaning", F.coalesce("n", F.lit(0)).alias("orders"))
+
+
+@query(
+    """
+    SELECT 'cached' AS frame, false AS allowed, count(*) AS rows FROM orders
+    UNION ALL SELECT 'joined', false, count(*) FROM orders
+    UNION ALL SELECT 'plain', false, count(*) FROM orders
+    UNION ALL SELECT 'literal', true, 1
+    """
+)
+def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which frames a policy without local scans lets through, and how many rows they have."""
+    source = Location(sf_dir) if ":" in sf_dir else Location.local(sf_dir)
+    orders = scan(spark, source.child("orders.parquet"))
+    customers = orders.select(F.col("o_custkey").alias("key")).distinct()
+    cached = orders.select("*").cache()
+    frames = {
+        "plain": orders,
+        "joined": orders.join(customers, F.col("o_custkey") == F.col("key")),
+        "cached": cached,
+        "literal": spark.range(1),
+    }
+    policy = AccessPolicy(allow_local_scans=False)
+    found = None
+    for name, frame in frames.items():
+        try:
+            policy.check_frame(frame)
+            allowed = True
+        except PermissionError:
+            allowed = False
+        row = frame.agg(F.count("*").alias("rows")).select(
+            F.lit(name).alias("frame"), F.lit(allowed).alias("allowed"), "rows"
+        )
+        found = row if found is None else found.unionByName(row)
+    cached.unpersist()
+    return found
 
 
 @query(_ORDER_PEAKS)
@@ -140,8 +195,14 @@ def python_arrow_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.mapInArrow(net_prices, "l_orderkey long, l_linenumber int, net_price double")
 
 
+_LINE_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+]
+
+
 @query(
-    """
+    f"""
     WITH edited AS (
         SELECT * REPLACE (CASE WHEN l_tax = 0 THEN l_quantity + 1
                                ELSE l_quantity END AS l_quantity)
@@ -149,28 +210,14 @@ def python_arrow_function(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL
         SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50
     ),
-    a AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
-                 l_shipdate, count(*) AS n FROM lineitem GROUP BY ALL),
-    b AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
-                 l_shipdate, count(*) AS n FROM edited GROUP BY ALL)
-    SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey,
-           coalesce(a.l_partkey, b.l_partkey) AS l_partkey,
-           coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey,
-           coalesce(a.l_linenumber, b.l_linenumber) AS l_linenumber,
-           coalesce(a.l_quantity, b.l_quantity) AS l_quantity,
-           coalesce(a.l_extendedprice, b.l_extendedprice) AS l_extendedprice,
-           coalesce(a.l_shipdate, b.l_shipdate) AS l_shipdate,
-           CAST(coalesce(a.n, 0) AS BIGINT) AS left_count,
-           CAST(coalesce(b.n, 0) AS BIGINT) AS right_count
-    FROM a FULL JOIN b
-      ON a.l_orderkey IS NOT DISTINCT FROM b.l_orderkey
-     AND a.l_partkey IS NOT DISTINCT FROM b.l_partkey
-     AND a.l_suppkey IS NOT DISTINCT FROM b.l_suppkey
-     AND a.l_linenumber IS NOT DISTINCT FROM b.l_linenumber
-     AND a.l_quantity IS NOT DISTINCT FROM b.l_quantity
-     AND a.l_extendedprice IS NOT DISTINCT FROM b.l_extendedprice
-     AND a.l_shipdate IS NOT DISTINCT FROM b.l_shipdate
-    WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)
+    counts AS (
+        SELECT {", ".join(_LINE_COLUMNS)}, sum(a) AS left_count, sum(b) AS right_count
+        FROM (SELECT *, 1 AS a, 0 AS b FROM lineitem UNION ALL SELECT *, 0, 1 FROM edited)
+        GROUP BY {", ".join(_LINE_COLUMNS)}
+    )
+    SELECT * REPLACE (CAST(left_count AS BIGINT) AS left_count,
+                      CAST(right_count AS BIGINT) AS right_count)
+    FROM counts WHERE left_count <> right_count
     """
 )
 def bag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,11 +231,7 @@ def bag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("l_quantity", F.when(F.col("l_tax") == 0, quantity + 1).otherwise(quantity))
         .unionAll(lines.where(returned))
     )
-    compared = [
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_shipdate",
-    ]
-    return bag_difference(lines.select(*compared), edited.select(*compared))
+    return bag_difference(lines, edited)
 
 
 # --- locations, partitions and resume -----------------------------------------------------------

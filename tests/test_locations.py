@@ -108,3 +108,15 @@ def test_options_cannot_redirect(spark, tmp_path):
             sink(spark.range(1), place.child("x"), options={name: "file:/etc"})
         with pytest.raises(ValueError):
             Location("s3a://b/a", {name: "file:/etc"})
+
+
+def test_cached_and_joined_frames_are_refused(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    frame = spark.read.parquet(f"{tmp_path}/t")
+    policy = AccessPolicy(allow_local_scans=False)
+    cached = frame.select("*").cache()
+    for tried in (frame, cached, spark.range(2).join(frame, "id")):
+        with pytest.raises(PermissionError):
+            policy.check_frame(tried)
+    policy.check_frame(spark.range(2))
+    cached.unpersist()

@@ -120,8 +120,21 @@ def test_columns_are_not_overwritten(spark):
 
 def test_number_beyond_64_bits(spark):
     top = w(2**63 - 1)
-    row = planned(spark, [(top, 2, 0, None, None, None)]).first()
-    assert (row.desired, row.add_first, row.add_count) == (2, None, 1)
+    with pytest.raises(Exception, match="no successor in 64 bits"):
+        planned(spark, [(top, 2, 0, None, None, None)]).collect()
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        planned(spark, [(["worker-9223372036854775808"], 2, 0, None, None, None)]).collect()
+
+
+def test_no_amount_changes_nothing(spark):
+    row = planned(spark, [(w(0, 1), None, 0, None, ["worker-0"], None)]).first()
+    assert (row.desired, row.add_first, row.add_count, row.remove) == (None, None, 0, [])
+    assert row.planned_size == 2
+
+
+def test_live_names_are_a_set(spark):
+    row = planned(spark, [(["worker-0", "worker-0", None], 1, 0, None, None, None)]).first()
+    assert (row.available, row.remove, row.planned_size) == (1, [], 1)
 
 
 def test_request_for_very_many(spark):
