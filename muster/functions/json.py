@@ -29,17 +29,20 @@ _NO_LIMITS = {
 }
 
 
-def unlimited_document(text: str, schema: str) -> Column:
-    """A text's JSON object read by a schema, null if it is not exactly one, of any size and depth.
+def unlimited_document(text: str) -> Column:
+    """A text that is exactly one JSON document, null if it is not, of any size.
 
-    The same check as in `with_document`, for documents that a variant can't hold.
+    The same check as in `with_document`, for documents that a variant can't hold. Spark copies
+    the document as text here, which limits nesting to 1,000.
     """
-    mark = F.xxhash64(F.col(text))
-    end = F.concat(F.lit(',{"__mark":'), mark.cast("string"), F.lit("}]"))
-    wrapped = F.concat(F.lit("["), F.col(text), end)
-    parts = F.from_json(wrapped, f"array<struct<{schema}, __mark: bigint>>", _NO_LIMITS)
-    whole = (F.size(parts) == 2) & (F.try_element_at(parts, F.lit(2))["__mark"] == mark)
-    return F.when(whole, F.try_element_at(parts, F.lit(1)))
+    mark = F.xxhash64(F.col(text)).cast("string")
+    wrapped = F.concat(F.lit("["), F.col(text), F.lit(","), mark, F.lit("]"))
+    parts = F.from_json(wrapped, "array<string>", _NO_LIMITS)
+    return F.when((F.size(parts) == 2) & (F.try_element_at(parts, F.lit(2)) == mark), F.col(text))
+
+
+def read_unlimited(document: Column, schema: str) -> Column:
+    return F.from_json(document, schema, _NO_LIMITS)
 
 
 def with_document(df: DataFrame, text: str, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from muster.functions.json import (
     DOCUMENT,
     computed_once,
+    read_unlimited,
     unlimited_document,
     with_document,
 )
@@ -52,10 +53,11 @@ def parse_reports(
     inked = lines.where(F.col(text).rlike(_INK)).select(F.col(text).alias("line"))
     parsed = with_document(inked, "line", "__doc")
     # what a variant can't hold is read again, without limits
-    large = F.when(F.col("__doc").isNull(), unlimited_document("line", f"params: {_PARAMS}"))
+    large = F.when(F.col("__doc").isNull(), unlimited_document("line"))
     whole = computed_once(parsed, large, "__large")
+    held = read_unlimited(F.col("__large"), f"params {_PARAMS}")["params"]
     small = F.try_variant_get("__doc", f"{DOCUMENT}.params", _PARAMS)
-    read = computed_once(whole, F.coalesce(small, F.col("__large")["params"]), "__params")
+    read = computed_once(whole, F.coalesce(small, held), "__params")
     no_params = (
         F.lit("no_params")
         if missing_params == "route"
