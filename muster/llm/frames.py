@@ -42,6 +42,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def durable_step(df: DataFrame) -> DataFrame:
+    """A durable frame for a loop that joins its own results.
+
+    A checkpoint keeps the planner's guess of its size, which is a product over joins. From round
+    to round such guesses become numbers of megabytes, and planning with them fills the driver.
+    Read as a frame of its own, the checkpoint has the session's default size again.
+    """
+    kept, spark = durable(df)._jdf, df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(kept.toJavaRDD(), kept.schema()), spark)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name not in the frame, ignoring case."""
     taken = {name.lower() for name in df.columns}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.frames import durable
+from muster.llm.frames import durable_step
 
 _NAMES = ["key", "node", "size", "hub", "hub_size"]
 
@@ -75,12 +75,12 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     so even a chain needs about as many rounds as its length has binary digits. Rounds are kept
     as checkpoints. Nodes without links are not in the result.
     """
-    both = durable(
+    both = durable_step(
         links.select(F.col("one").alias("a"), F.col("other").alias("b"))
         .unionByName(links.select(F.col("other").alias("a"), F.col("one").alias("b")))
         .distinct()
     )
-    labels = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    labels = durable_step(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")))
     for _ in range(most_rounds):
         near = (
             both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("seen")), "b")
@@ -91,7 +91,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
             "a", F.col("label").alias("old"), F.least("label", "seen").alias("label")
         )
         far = labels.select(F.col("a").alias("label"), F.col("label").alias("beyond"))
-        moved = durable(lower.join(far, "label").select("a", "old", F.col("beyond").alias("label")))
+        moved = durable_step(lower.join(far, "label").select("a", "old", F.col("beyond").alias("label")))
         labels = moved.select("a", "label")
         if not moved.where("old <> label").limit(1).count():
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))

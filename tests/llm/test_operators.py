@@ -509,6 +509,13 @@ def test_a_chain_is_one_component(spark):
     assert found == {i: 0 for i in range(201)} | {900: 900, 901: 900}
 
 
+def test_rounds_do_not_add_up_guesses_of_size(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "one long, other long")
+    found = stars.components(links)
+    size = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(size) < 1 << 80
+
+
 def test_stars_have_the_first_of_each_group_as_hub(spark):
     rng = random.Random(23)
     rows = [(rng.randrange(300), rng.randrange(5), rng.randrange(2000)) for _ in range(900)] + [(7, 0, i) for i in range(999)]
