@@ -27,9 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without lines that repeat earlier ones, but those that had no others.
 
-    `n_chars` is that of the text as it now is.
+    Exact repeats count from one word on, near ones from four: three words of four alike are the
+    share of which the n-gram join makes near duplicates. `n_chars` is that of the text as it now is.
     """
-    kept = without_repeated_lines(docs, "doc_id", "text")
+    kept = without_repeated_lines(docs, "doc_id", "text", min_words=1, min_near_words=4)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

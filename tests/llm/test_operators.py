@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from muster.llm import chat, decontamination, fingerprints, language, licences, lines, packing
 from muster.llm import quality, sharding, shingles, stars
 
@@ -369,6 +370,13 @@ def test_lines_of_hard_rows(spark):
     assert lines.repeated_lines(documents(spark, []), "doc_id", "text").count() == 0
 
 
+def test_the_pipeline_drops_short_lines_too(spark):
+    texts = ["a b c d e f g h\nles.\nr s t u", "new\nA b c d e f g h\nles.\nr s t w\nt u v", "les.", "t u v\n\nt u w"]
+    kept = corpus_pipeline.line_dedup(spark, documents(spark, texts), "").collect()
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept}
+    assert got == {0: (texts[0], len(texts[0])), 1: ("new\nt u v", 9), 3: ("\nt u w", 6)}
+
+
 @given(st.lists(st.sampled_from("abc"), min_size=1, max_size=7), st.lists(st.sampled_from("abc"), min_size=1, max_size=7))
 @settings(max_examples=300, deadline=None)
 def test_edits_halves_and_variants(a, b):
