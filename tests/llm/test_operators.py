@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 from itertools import pairwise
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -92,6 +94,28 @@ def test_licences_keep_repeated_rows_and_null_keys(spark):
     assert licences.scan_licenses(empty, "doc_id", "text", licences.known_notices(spark)).count() == 0
 
 
+def test_whole_licences_are_found(spark):
+    folder = Path(licences.__file__).parent / "licence_texts"
+    text = {p.stem: p.read_text(encoding="utf-8") for p in folder.glob("*.txt")}
+    holder = "Copyright (c) 2020, Someone. All rights reserved."
+    mit = text["MIT"]
+    stated = {n: [p for p in re.split(r"\n\s*\n", t) if p.strip()] for n, t in text.items()}
+    texts = {
+        f"{n} {width}": holder + "\n\n" + "\n\n".join(p if "Copyright (C)" in p else textwrap.fill(p.strip(), width) for p in ps)
+        for n, ps in stated.items() for width in (61, 9999)
+    }
+    texts |= {f"{name} as it is": t for name, t in text.items()}
+    texts |= {"MIT headed": f"MIT License\n\n{holder}\n\n{mit}", "BSD-3-Clause headed": f"BSD 3-Clause License\n\n{holder}\n{text['BSD-3-Clause']}"}
+    texts |= {"MIT line": "Copyright (c) 2020 X. Licensed under the MIT License."}
+    texts |= {"none": holder, "none cut": mit[: len(mit) // 2], "none inside": f"words\n\n{holder}\n\n{mit}\n\nmore", "none notice": "words\n\n© 2020 X\nReleased under\nthe MIT License.\n\nmore"}
+    names = list(texts)
+    found = licences.scan_licenses(documents(spark, list(texts.values())), "doc_id", "text", licences.known_notices(spark))
+    got = {names[r["doc_id"]]: r for r in found.collect()}
+    assert {n: r["license"] for n, r in got.items()} == {n: None if n.startswith("none") else n.split()[0] for n in names}
+    passages = {n: (got[n]["line_licenses"], got[n]["n_license_lines"]) for n in names if n.startswith("none") or n == "MIT line"}
+    assert passages == {"none": ("", 0), "none cut": ("", 0), "none inside": ("MIT", 1), "none notice": ("MIT", 1), "MIT line": ("MIT", 1)}
+
+
 # --- decontamination ----------------------------------------------------------------------------
 
 
