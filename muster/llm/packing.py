@@ -113,9 +113,11 @@ def pack_documents(
     `capacity` is the shortest permitted length that holds them. Without `with_texts`, texts are
     null. Other columns are not read.
 
-    Rows are packed where they are read, without a shuffle, in blocks: a block closes at
-    `block_items` pieces or `block_bytes` bytes and is packed as a whole, so a task holds one block.
-    Only the few bins a block leaves part empty are lost against packing everything at once.
+    Rows are packed without a shuffle, in blocks: a block closes at `block_items` pieces or
+    `block_bytes` bytes and is packed as a whole, so a task holds one block. Rows and bytes are
+    counted first, and partitions are put together until there are no more of them than full blocks,
+    so that many small files pack as few large ones. Only the few bins a block leaves part empty are
+    lost against packing everything at once.
     """
     kind = df.schema[key].dataType.simpleString()
     schema = (
@@ -124,9 +126,10 @@ def pack_documents(
     )
     target = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
     longest = lengths.permitted[-1] - 1
-    rows = df.select(
-        F.spark_partition_id().alias("part"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")
-    )
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    total = rows.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    full = max(1, total["rows"] // block_items, (total["bytes"] or 0) // block_bytes)
+    rows = rows.coalesce(full).select(F.spark_partition_id().alias("part"), "key", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: list[tuple] = []

@@ -65,14 +65,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which part of every document is in which sequence, and where: one row for each piece."""
-    packed = pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", with_texts=False)
-    pieces = F.arrays_zip("keys", "starts", "n_bytes")
+    packed = pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+    pieces = F.arrays_zip("keys", "starts", "texts")
     return packed.select(
         "sequence_id", "capacity", "used", F.posexplode(pieces).alias("place", "piece")
     ).select(
         F.col("piece.keys").alias("doc_id"),
         F.col("piece.starts").alias("start"),
-        F.col("piece.n_bytes").alias("n_bytes"),
+        F.octet_length("piece.texts").cast("long").alias("n_bytes"),
         "sequence_id",
         "place",
         "capacity",

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from muster.llm import chat, decontamination, fingerprints, language, licences, lines, packing
-from muster.llm import quality, sharding, shingles, stars
+from muster.llm import quality, queries, sharding, shingles, stars
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -231,6 +231,26 @@ def test_packing_holds_every_byte_once(spark, block_items):
     assert packing.pack_documents(documents(spark, []), "doc_id", "text", lengths).count() == 0
 
 
+def test_packing_does_not_depend_on_how_rows_are_parted(spark):
+    rng = random.Random(3)
+    frame = documents(spark, [words(rng, rng.randrange(1, 400)) for _ in range(200)])
+    one, many = (
+        packing.pack_documents(frame.repartition(n), "doc_id", "text").agg(F.sum("capacity"), F.sum("used")).first()
+        for n in (1, 40)
+    )
+    assert one == many
+
+
+def test_the_packing_query_reads_the_sequences(spark, monkeypatch):
+    packed = []
+    monkeypatch.setattr(queries, "pack_documents", lambda *a, **k: packed.append(packing.pack_documents(*a, **k)) or packed[-1])
+    found = queries.op5_packing(spark, "/root/testdata/sf0.001")
+    texts = packed[0].select(F.explode("texts").alias("text"))
+    assert texts.where("text is null").count() == 0
+    sizes = [sorted(r[0] for r in f.collect()) for f in (found.select("n_bytes"), texts.select(F.octet_length("text")))]
+    assert sizes[0] == sizes[1] and sizes[0]
+
+
 def plain_best_fit(sizes, lengths):
     after, bins = sum(sizes), []
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
