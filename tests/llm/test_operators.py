@@ -155,6 +155,16 @@ def test_windows_are_found_as_by_search(spark, block_bytes):
     assert kept.count() == clean
 
 
+def test_a_repeated_item_is_sent_once(spark, monkeypatch):
+    sent, scan = [], decontamination._scan
+    monkeypatch.setattr(decontamination, "_scan", lambda pairs, width: sent.append(pairs) or scan(pairs, width))
+    rows = [("often", "a b c d")] * 200 + [("once", "e f g h")]
+    items = spark.createDataFrame(rows, "item_id string, text string")
+    found = decontamination.find_benchmark(documents(spark, ["x a b c d y", "e f"]), "text", items, width=3, block_bytes=20)
+    assert [(r["n_hit"], r["items"]) for r in found.orderBy("doc_id").collect()] == [(4, ["often"]), (0, [])]
+    assert sorted(p for pairs in sent for p in pairs) == [("often", "a b c d"), ("once", "e f g h")]
+
+
 def test_no_items_hit_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     found = decontamination.find_benchmark(documents(spark, ["some words"]), "text", bench).first()
