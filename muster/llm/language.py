@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.frames import over_texts, with_fields
+from muster.llm.frames import durable, over_texts, sent_if_small, with_fields
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _SPREAD = 1 << 30
@@ -40,34 +40,42 @@ def fit_languages(
     *,
     texts_per_language: int = 32,
     bytes_per_text: int = 1024,
-    max_languages: int = 200,
+    max_bytes: int = 200 * 32 * 1024,
 ) -> LanguageModel:
     """Dictionaries from a bounded sample of the labelled rows.
 
     The sample of a language are the different texts of lowest hash, `texts_per_language` of
-    them, each adding `bytes_per_text` bytes at most; copies count once and row order doesn't
-    matter. Rows without text, letters or language are not used. An empty table gives a model
-    that knows no language. More than `max_languages` languages raise.
+    them, each adding `bytes_per_text` bytes at most, from a place in it that its hash chooses;
+    copies count once and row order doesn't matter. Rows without text, letters or language are not
+    used. An empty table gives a model that knows no language. All dictionaries have `max_bytes`
+    together: with many languages each has fewer texts, then shorter ones, of one letter at least.
     """
     rows = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
     digest = F.xxhash64("text")
-    texts = rows.groupBy("lang").agg(F.approx_count_distinct(digest).alias("texts"))
-    counts = {r["lang"]: r["texts"] for r in texts.limit(max_languages + 1).collect()}
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    texts = durable(rows.groupBy("lang").agg(F.approx_count_distinct(digest).alias("texts")))
+    counts = {r["lang"]: r["texts"] for r in texts.collect()}
     if not counts:
         return LanguageModel({})
-    share = F.lit(0)
-    for name, count in counts.items():  # four times what is needed, for chance and what is estimated
-        low = math.ceil(min(1.0, 4 * texts_per_language / count) * _SPREAD)
-        share = F.when(F.col("lang") == name, F.lit(low)).otherwise(share)
-    # lower-cased letters are at most three times as long in characters as in bytes
+    each = max(1, max_bytes // len(counts))
+    bytes_per_text = min(bytes_per_text, each)
+    texts_per_language = min(texts_per_language, max(1, each // bytes_per_text))
+    # four times what is needed, for chance and what is estimated
+    needed = F.lit(4.0 * texts_per_language) / F.col("texts")
+    shares = texts.select(
+        F.col("lang").alias("shared_lang"), F.ceil(F.least(F.lit(1.0), needed) * _SPREAD).alias("share")
+    )
+    # from a place that leaves enough of the text behind it; lower-cased letters are at most three
+    # times as long in characters as in bytes
+    place = F.pmod(F.xxhash64("text", F.lit("place")), F.greatest(F.length("text") - bytes_per_text, F.lit(0)) + 1)
+    part = F.substring("text", place.cast("int") + 1, F.lit(3 * bytes_per_text))
+    lettered = F.when(part.rlike(r"\p{L}"), part).otherwise(F.regexp_replace("text", r"^\P{L}+", ""))
     sample = (
-        rows.where(F.pmod(digest, F.lit(_SPREAD)) < share)
+        rows.join(sent_if_small(shares), F.col("lang") == F.col("shared_lang"))
+        .where(F.pmod(digest, F.lit(_SPREAD)) < F.col("share"))
         .groupBy("lang", digest.alias("digest"))
-        .agg(F.min(F.substring("text", 1, 3 * bytes_per_text)).alias("text"))
+        .agg(F.min(F.substring(lettered, 1, 3 * bytes_per_text)).alias("text"))
     )
     pieces: dict[str, list[bytes]] = {name: [] for name in counts}
     for r in sample.orderBy("digest").limit(16 * texts_per_language * len(counts)).collect():

@@ -73,6 +73,17 @@ def test_copies_fill_a_dictionary_once(spark):
     assert len(model.dictionaries["en"]) <= sum(map(len, ENGLISH)) + 1
 
 
+def test_dictionaries_are_not_of_headings_and_any_number_of_languages_fits(spark):
+    rng = random.Random(2)
+    rows = [("heading " * 400 + f"{words(rng, 40)} river " * 90, "en") for _ in range(20)]
+    model = language.fit_languages(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert b"river" in model.dictionaries["en"]
+    many = spark.range(300).select(F.lit("some words of a text").alias("text"), F.col("id").cast("string").alias("lang"))
+    model = language.fit_languages(many, "text", "lang", max_bytes=1500)
+    assert len(model.dictionaries) == 300
+    assert 300 <= sum(map(len, model.dictionaries.values())) <= 1500
+
+
 # --- licences -----------------------------------------------------------------------------------
 
 
