@@ -183,3 +183,125 @@ COMPONENTS = rf"""
     FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
     LEFT JOIN sizes USING (doc_id)
 """
+
+_CRC_TABLE = """
+    crc_table AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(
+            list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+            lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+    )
+"""
+
+SPELLING = rf"""
+    WITH RECURSIVE {_CRC_TABLE},
+    runs AS (
+        SELECT doc_id, run, count(*) AS n
+        FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_UPPER}, {_LOWER}), '[A-Za-zÀ-ÿ]+')) AS run
+              FROM documents WHERE text IS NOT NULL)
+        WHERE length(run) >= 7 GROUP BY ALL
+    ),
+    hashed AS (
+        SELECT run, n, xor(list_reduce(list_prepend(4294967295,
+                   list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT)),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+        FROM (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, 'None') || ':' || run)) AS x FROM runs) CROSS JOIN crc_table
+    ),
+    words AS (
+        SELECT word, sum(n)::BIGINT AS n
+        FROM (SELECT n, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                             ELSE run END AS word FROM hashed)
+        WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+    ),
+    shorter AS (
+        SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS v
+        FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+    ),
+    near AS (
+        SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word FROM shorter a JOIN words b ON a.v = b.word
+        UNION SELECT b.word, a.word FROM shorter a JOIN words b ON a.v = b.word
+    ),
+    best AS (
+        SELECT near.word, count(*) AS n_near,
+               first(o.word ORDER BY o.n DESC, o.word) AS form, max(o.n) AS form_n
+        FROM near JOIN words o ON other = o.word GROUP BY near.word
+    ),
+    forms AS (
+        SELECT words.word, form, n, form_n FROM words JOIN best USING (word) WHERE form_n >= 10 * n
+    ),
+    steps AS (
+        SELECT word, form AS root FROM forms
+        UNION SELECT steps.word, forms.form FROM steps JOIN forms ON steps.root = forms.word
+    ),
+    roots AS (
+        SELECT word, root FROM steps WHERE root NOT IN (SELECT word FROM forms)
+    )
+    SELECT word, form, coalesce(root, word) AS root, words.n, coalesce(n_near, 0) AS n_near, forms.form_n
+    FROM words LEFT JOIN (SELECT word, n_near FROM best) USING (word)
+    LEFT JOIN (SELECT word, form, form_n FROM forms) AS forms USING (word) LEFT JOIN roots USING (word)
+"""
+
+PASSAGES = r"""
+    WITH words AS (
+        SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+    ),
+    windows AS (
+        SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM words WHERE len(w) >= 50)
+    ),
+    firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+    gone AS (
+        SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (h) WHERE first < doc_id
+    ),
+    tokens AS (
+        SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM words
+    ),
+    kept AS (
+        SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+        FROM tokens ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(text, '')) AS kept_sha256
+    FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+COLLOCATIONS = rf"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(text, {_UPPER}, {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents WHERE text IS NOT NULL
+    ),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+    phrases AS (
+        SELECT lang, w[i + 1 : i + size] AS w
+        FROM (SELECT lang, w, size, unnest(range(greatest(0, len(w) - size + 1))) AS i
+              FROM words CROSS JOIN (SELECT unnest(range(1, 5)) AS size))
+    ),
+    counted AS (SELECT lang, w, count(*) AS a FROM phrases GROUP BY lang, w HAVING count(*) >= 30),
+    candidates AS (SELECT * FROM counted WHERE len(w) > 1),
+    cuts AS (
+        SELECT c.lang, c.w, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+        FROM (SELECT *, unnest(range(1, len(w))) AS k FROM candidates) c
+        JOIN counted x ON x.lang = c.lang AND x.w = c.w[1 : k]
+        JOIN counted y ON y.lang = c.lang AND y.w = c.w[k + 1 :]
+    ),
+    scored AS (
+        SELECT lang, w, a, first(l ORDER BY score, k) AS l, first(r ORDER BY score, k) AS r, min(score) AS score
+        FROM cuts GROUP BY lang, w, a
+    ),
+    inside AS (
+        SELECT lang, w[i + 1 : i + size] AS w, max(a) AS longer
+        FROM (SELECT lang, w, a, size, unnest(range(len(w) - size + 1)) AS i
+              FROM candidates CROSS JOIN (SELECT unnest([2, 3]) AS size) WHERE len(w) > size)
+        GROUP BY ALL
+    ),
+    ranked AS (
+        SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, score,
+               row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank
+        FROM scored LEFT JOIN inside USING (lang, w)
+        WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+    FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

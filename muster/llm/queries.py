@@ -16,9 +16,12 @@ from muster.llm.language import fit_languages, identify_languages
 from muster.llm.licences import known_notices, scan_licenses
 from muster.llm.lines import repeated_lines
 from muster.llm.packing import pack_documents
+from muster.llm.passages import with_kept_words
+from muster.llm.phrases import collocations
 from muster.llm.quality import learned_quality, quality_score
 from muster.llm.sharding import shard_by_bytes
 from muster.llm.shingles import near_duplicates
+from muster.llm.spelling import count_words, spelling_variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,6 +121,25 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of seven letters or more, how many are one edit away, and their usual form."""
+    words = count_words(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 50 words that an earlier one has."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_kept_words(documents, "doc_id", "text").select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language."""
+    return collocations(table(spark, sf_dir, "documents"), "text", "lang")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -131,6 +153,9 @@ QUERIES: dict[str, Query] = {
         op8_line_dedup,
         op9_fingerprints,
         op10_ngram_join,
+        op11_spelling_variants,
+        op12_substring_dedup,
+        op13_collocations,
     )
 }
 
@@ -141,4 +166,7 @@ SQL: dict[str, str] = {
     "op7_sharding": oracle.SHARDS,
     "op8_line_dedup": oracle.LINES,
     "op10_ngram_join": oracle.COMPONENTS,
+    "op11_spelling_variants": oracle.SPELLING,
+    "op12_substring_dedup": oracle.PASSAGES,
+    "op13_collocations": oracle.COLLOCATIONS,
 }
