@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.functions.columns import own_columns
-
-# The path of the document within the variants that `with_document` adds.
-DOCUMENT = "$[0]"
-
 
 def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
     """Add a column that later filters do not compute again.
@@ -20,45 +15,47 @@ def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-# No limit on what a document holds; otherwise as strict as the variant parser, repeated keys apart.
+# No limit on what a document holds, and nothing but JSON.
 _NO_LIMITS = {
     "maxStringLen": "2147483647",
-    "maxNestingDepth": "1000000",
+    "maxNestingDepth": "2147483647",
     "maxNumLen": "2147483647",
     "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
 }
 
 
-def unlimited_document(text: str) -> Column:
-    """A text that is exactly one JSON document, null if it is not, of any size.
+def _is_document(text: str) -> Column:
+    """Whether a text is exactly one JSON value, of any size and depth.
 
-    The same check as in `with_document`, for documents that a variant can't hold. Spark copies
-    the document as text here, which limits nesting to 1,000.
+    It is put into an object and into an array. What closes the one does not close the other, and
+    what may follow a comma in the one may not in the other, so nothing but one value fits both.
+    The parser skips the value and copies none of it. An element in which it met an error is null.
     """
     mark = F.xxhash64(F.col(text)).cast("string")
-    wrapped = F.concat(F.lit("["), F.col(text), F.lit(","), mark, F.lit("]"))
-    parts = F.from_json(wrapped, "array<string>", _NO_LIMITS)
-    return F.when((F.size(parts) == 2) & (F.try_element_at(parts, F.lit(2)) == mark), F.col(text))
+    wrapped = F.concat(
+        F.lit('[{"v":'), F.col(text), F.lit('},{"v":['), F.col(text), F.lit(']},{"__mark":'), mark, F.lit("}]")
+    )
+    parts = F.from_json(wrapped, "array<struct<__mark: bigint>>", _NO_LIMITS)
+    last = F.try_element_at(parts, F.lit(3))["__mark"]
+    clean = (F.size(parts) == 3) & ~F.exists(parts, lambda part: part.isNull())
+    return F.coalesce(clean & (last.cast("string") == mark), F.lit(False))
 
 
-def read_unlimited(document: Column, schema: str) -> Column:
-    return F.from_json(document, schema, _NO_LIMITS)
+def with_object(df: DataFrame, text: str, fields: str, name: str) -> DataFrame:
+    """Add a struct of `whole`, whether the text is exactly one JSON document, and `object`, the
+    wanted fields of a document that is an object (else null).
 
+    Only these fields are read. The parser skips all others, so their size, depth and repeated keys
+    do not matter; of a wanted key that is repeated the last counts. Give a field the type variant
+    to see its JSON type. A wanted field that does not have its type is null.
+    """
+    is_object = F.col(text).rlike(r"^[ \t\n\r]*\{")
+    checked = computed_once(df, _is_document(text), "__whole")
+    read = F.when(F.col("__whole") & is_object, F.from_json(F.col(text), f"struct<{fields}>", _NO_LIMITS))
+    return computed_once(checked, F.struct(F.col("__whole").alias("whole"), read.alias("object")), name).drop("__whole")
 
-def with_document(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add a variant with the text's JSON document at `DOCUMENT`, null if it is not exactly one.
 
-    `try_parse_json` stops after the first document and accepts whatever follows it. So the text
-    is parsed as the first element of an array whose second is the text's own hash: anything
-    between or after the two shows as a wrong or further element. Repeated keys are an error
-    unless the session sets `spark.sql.variant.allowDuplicateKeys`.
-    """
-    mark = F.xxhash64(F.col(text))
-    wrapped = F.concat(F.lit("["), F.col(text), F.lit(","), mark.cast("string"), F.lit("]"))
-    pair = F.col("__pair")
-    whole = (F.try_variant_get(pair, "$[1]", "bigint") == mark) & F.try_variant_get(
-        pair, "$[2]", "variant"
-    ).isNull()
-    return computed_once(df, F.try_parse_json(wrapped), "__pair").select(
-        *own_columns(df), F.when(whole, pair).alias(name)
-    )
+def read_again(text: str, fields: str) -> Column:
+    """A second reading of a document, of other fields."""
+    return F.from_json(F.col(text), f"struct<{fields}>", _NO_LIMITS)

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions.columns import own_columns, refuse_columns
-from muster.functions.json import DOCUMENT, computed_once, with_document
+from muster.functions.json import computed_once, with_object
 
 _NAME_SETS = ("workers_to_keep", "workers_to_delete")
-_FIELDS = f"struct<amount: variant, {', '.join(f'{name}: variant' for name in _NAME_SETS)}>"
+_FIELDS = f"amount: variant, {', '.join(f'{name}: variant' for name in _NAME_SETS)}"
 
 
 def _reason(test: Column, name: str) -> Column:
@@ -22,13 +22,14 @@ def validate_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     Adds `amount`, `workers_to_keep`, `workers_to_delete` (distinct names, null where not given)
     and `reasons`, which is empty for an accepted request. A body must be one JSON object, its
     amount a JSON integer of at most 64 bits that is not negative, and each set of names absent,
-    null or an array of strings. Other fields are ignored.
+    null or an array of strings. Other fields are not read: they may be of any size and depth and
+    repeat their keys. Of a field here that is repeated the last counts.
     """
     refuse_columns(requests, "amount", *_NAME_SETS, "reasons")
-    documents = with_document(requests, body, "__doc").select(
+    documents = with_object(requests, body, _FIELDS, "__doc").select(
         *own_columns(requests),
-        F.col("__doc").isNotNull().alias("__valid"),
-        F.try_variant_get("__doc", DOCUMENT, _FIELDS).alias("__fields"),
+        F.col("__doc.whole").alias("__valid"),
+        F.col("__doc.object").alias("__fields"),
     )
     # The types are looked up by name: casts to bigint and string accept other JSON types too.
     fields = computed_once(

@@ -338,16 +338,19 @@ def ledger_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """
-    SELECT CASE WHEN event_id % 97 = 0 THEN 'bad_json' ELSE 'no_params' END AS reason,
+    f"""
+    SELECT CASE WHEN event_id % 97 = 0 THEN 'bad_json' WHEN event_id % 89 = 0 THEN 'no_params'
+                ELSE {list(tables.MISTYPED)}[event_id // 83 % {len(tables.MISTYPED)} + 1] END AS reason,
            count(*) AS lines
     FROM events
-    WHERE event_id % 101 <> 0 AND (event_id % 97 = 0 OR event_id % 89 = 0)
+    WHERE event_id % 101 <> 0 AND (event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0)
     GROUP BY 1
     """
 )
 def ledger_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = dead_letters(_parsed(spark, sf_dir))
+    """Lines that are no reports, by the reason, with mistyped ones among them."""
+    lines = tables.ledger_lines(spark, sf_dir, mistyped=True)
+    letters = dead_letters(parse_reports(lines, missing_params="route"))
     return letters.groupBy("reason").agg(F.count("*").alias("lines"))
 
 

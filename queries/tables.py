@@ -16,8 +16,23 @@ def _one_of(number: Column, values: list[str | None]) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (number % len(values) + 1).cast("int"))
 
 
-def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ledger line for each event: most are reports, some blank, cut short or without params."""
+#: Params that make no report, by the reason.
+MISTYPED = {
+    "sequence_text": '"sequence":"3","clusters":[]',
+    "sequence_fraction": '"sequence":1.9,"clusters":[]',
+    "sequence_boolean": '"sequence":true,"clusters":[]',
+    "sequence_missing": '"clusters":[]',
+    "sequence_oversized": '"sequence":99999999999999999999,"clusters":[]',
+    "sequence_nested": '"sequence":[3],"clusters":[]',
+    "clusters_missing": '"sequence":3',
+    "clusters_not_list": '"sequence":3,"clusters":7',
+    "clusters_malformed": '"sequence":3,"clusters":[7,null,{}]',
+}
+
+
+def ledger_lines(spark: SparkSession, sf_dir: str, mistyped: bool = False) -> DataFrame:
+    """One ledger line for each event: most are reports, some blank, cut short or without params,
+    and some `mistyped` where asked for."""
     event = F.col("event_id")
     stop = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     clusters = []
@@ -40,6 +55,10 @@ def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(event % 101 == 0, F.lit("   "))
         .when(event % 97 == 0, F.substr(report, F.lit(1), (F.length(report) / 2).cast("int")))
         .when(event % 89 == 0, _one_of(event, ['{"nope":1}', "[1]"]))
+        .when(
+            F.lit(mistyped) & (event % 83 == 0),
+            _one_of(F.floor(event / 83), [f'{{"params":{{{odd}}}}}' for odd in MISTYPED.values()]),
+        )
         .otherwise(report)
         .alias("value")
     )
