@@ -20,13 +20,14 @@ from muster.operators.ledger import (
     open_clusters,
 )
 from muster.operators.paths import covering_paths
+from muster.operators.timeline import live_counts_at
 from muster.operators.windows import with_max_over
 from muster.plans.run import execute, with_partitions
 from muster.plans.scratch import scratch_location
 from muster.plans.staged import run_staged
 from muster.sources.ledger import dead_letters, good_reports, parse_reports, read_reports
 from muster.sources.locations import AccessPolicy, Location, scan, sink
-from muster.streaming.ledger import ingest_reports, ingested_reports
+from muster.streaming.ledger import ingest_reports, ingest_until, ingested_batches, ingested_reports
 from queries import tables
 from queries.tables import table
 
@@ -429,6 +430,44 @@ def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report_rows(ingested_reports(spark, target.child("table")))
 
 
+@query(
+    """
+    WITH numbered AS (
+        SELECT event_id, event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS file,
+               event_id % 101 <> 0 AND event_id % 97 <> 0 AND event_id % 89 <> 0 AS good
+        FROM events
+    ),
+    wanted AS (SELECT (max(event_id) + 1) // 2 AS sequence FROM events),
+    last AS (
+        SELECT min(file) AS file FROM numbered, wanted WHERE good AND event_id + 1 >= sequence
+    )
+    SELECT n.file AS batch, CAST(count(*) FILTER (good) AS BIGINT) AS reports,
+           max(event_id + 1) FILTER (good) AS highest, n.file = (SELECT file FROM last) AS stopped
+    FROM numbered n WHERE n.file <= (SELECT file FROM last) GROUP BY n.file
+    """
+)
+def ledger_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of four files in order of time, taken in file by file until the middle sequence is
+    there; what each batch held. The third file stays unless it holds that sequence, and so on."""
+    lines = tables.numbered_ledger_lines(spark, sf_dir)
+    top = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] + 1
+    place = scratch_location(spark, "until")
+    for number in range(4):
+        part = lines.where(F.floor(F.col("event_id") * 4 / top) == number).select("value")
+        sink(part.coalesce(1), place.child("ledger", f"part-{number}"), format="text")
+        tables.settle(spark, place.child("ledger", f"part-{number}"), place.child("closed"), f"report.{number}.jsonl")
+    terms = {"sequence": top // 2, "missing_params": "route", "files_per_trigger": 1, "interval": "0 seconds"}
+    ingest = ingest_until(spark, place.child("closed"), place.child("table"), place.child("progress"), **terms)
+    # a second call has nothing to do
+    again = ingest_until(spark, place.child("closed"), place.child("table"), place.child("progress"), **terms)
+    stored = ingested_batches(spark, place.child("table"))
+    good = F.col("reason").isNull()
+    return stored.groupBy("batch").agg(
+        F.count(F.when(good, 1)).alias("reports"),
+        F.max(F.when(good, F.col("sequence"))).alias("highest"),
+    ).withColumn("stopped", F.col("batch") == F.lit(ingest.batch if ingest.batch == again.batch else None))
+
+
 # --- worker pools -------------------------------------------------------------------------------
 
 # The live workers among the events, and the pools of their users.
@@ -492,6 +531,35 @@ def scaling_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.select("cluster_id", "available", "desired", "min", _text("max"))
 
 
+@query(
+    """
+    WITH log AS (
+        SELECT CASE WHEN event_id % 3 = 0 THEN 'busy' ELSE 'c' || user_id END AS cluster_id,
+               'worker-' || (event_id % 17) AS name, event_type <> 'error' AS live,
+               date_trunc('hour', ts) AS ts, event_id
+        FROM events
+    ),
+    spans AS (
+        SELECT cluster_id, name, live, ts AS first,
+               lead(ts) OVER (PARTITION BY cluster_id, name ORDER BY ts, event_id) AS after
+        FROM log
+    )
+    SELECT r.event_id, r.cluster_id, count(s.name) AS available
+    FROM (SELECT event_id, ts, cluster_id FROM log
+          UNION ALL SELECT event_id, date_trunc('hour', ts), 'none' FROM events WHERE event_id % 50 = 0) r
+    LEFT JOIN spans s ON r.cluster_id = s.cluster_id AND s.live AND s.first <= r.ts
+                         AND (s.after IS NULL OR s.after > r.ts)
+    GROUP BY ALL
+    """
+)
+def pool_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many workers were live in each event's pool at its time; some ask about a pool that is not."""
+    log = tables.actor_log(spark, sf_dir)
+    idle = log.where(F.col("place") % 50 == 0).withColumn("cluster_id", F.lit("none"))
+    asked = log.unionByName(idle).select(F.col("place").alias("event_id"), "cluster_id", "ts")
+    return live_counts_at(asked, log).select("event_id", "cluster_id", "available")
+
+
 @query(
     """
     SELECT event_id,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.functions.json import computed_once
+from muster.sources.locations import Location
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,21 @@ MISTYPED = {
 def ledger_lines(spark: SparkSession, sf_dir: str, mistyped: bool = False) -> DataFrame:
     """One ledger line for each event: most are reports, some blank, cut short or without params,
     and some `mistyped` where asked for."""
+    return numbered_ledger_lines(spark, sf_dir, mistyped).select("value")
+
+
+def settle(spark: SparkSession, written: Location, folder: Location, name: str) -> None:
+    """Give the one file of a written folder its name in another folder, as a ledger closes it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(written.uri).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(folder.uri))
+    parts = [f.getPath() for f in system.globStatus(path(f"{written.uri}/part-*"))]
+    if len(parts) != 1 or not system.rename(parts[0], path(f"{folder.uri}/{name}")):
+        raise OSError(f"not one file to settle in {written.uri}")
+
+
+def numbered_ledger_lines(spark: SparkSession, sf_dir: str, mistyped: bool = False) -> DataFrame:
+    """event_id and value, a ledger line."""
     event = F.col("event_id")
     stop = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     clusters = []
@@ -52,6 +68,7 @@ def ledger_lines(spark: SparkSession, sf_dir: str, mistyped: bool = False) -> Da
     report = F.col("report")
     events = table(spark, sf_dir, "events")
     return computed_once(events, text, "report").select(
+        "event_id",
         F.when(event % 101 == 0, F.lit("   "))
         .when(event % 97 == 0, F.substr(report, F.lit(1), (F.length(report) / 2).cast("int")))
         .when(event % 89 == 0, _one_of(event, ['{"nope":1}', "[1]"]))
@@ -82,6 +99,20 @@ def actor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def actor_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of states: each event tells one about a worker of its user's pool. A third of the
+    events are about one pool."""
+    event = F.col("event_id")
+    pool = F.when(event % 3 == 0, F.lit("busy")).otherwise(F.concat(F.lit("c"), F.col("user_id").cast("string")))
+    return table(spark, sf_dir, "events").select(
+        pool.alias("cluster_id"),
+        F.concat(F.lit("worker-"), (event % 17).cast("string")).alias("name"),
+        F.when(F.col("event_type") == "error", F.lit("DEAD")).otherwise(F.lit("ALIVE")).alias("state"),
+        F.date_trunc("hour", "ts").alias("ts"),
+        event.alias("place"),
+    )
+
+
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pool for each user, and an idle one without actors for every user with an even number."""
     user = F.col("user_id")

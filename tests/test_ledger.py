@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 import pytest
@@ -15,7 +16,7 @@ from muster.operators.ledger import (
 )
 from muster.sources.ledger import dead_letters, good_reports, ledger_lines, parse_reports, read_reports
 from muster.sources.locations import AccessPolicy, Location
-from muster.streaming.ledger import ingest_reports, ingested, ingested_reports
+from muster.streaming.ledger import ingest_reports, ingest_until, ingested, ingested_batches, ingested_reports
 
 TICK = '{"params":{"sequence":1,"clusters":[]}}'
 TWO = (
@@ -358,3 +359,71 @@ def test_documents_of_any_size_and_depth(spark):
     }
     found = parse(spark, list(lines), missing_params="route").collect()
     assert {row.line: row.reason for row in found} == lines
+
+
+def until(spark, ledger, target, sequence, **options):
+    return ingest_until(
+        spark,
+        Location.local(str(ledger)),
+        Location.local(str(target / "table")),
+        Location.local(str(target / "progress")),
+        sequence=sequence,
+        missing_params="route",
+        files_per_trigger=1,
+        interval="0 seconds",
+        **options,
+    )
+
+
+@pytest.fixture
+def growing(tmp_path):
+    """A ledger of five files, a report each, written one after the other."""
+    folder = tmp_path / "growing"
+    folder.mkdir()
+    for number in range(1, 6):
+        file = folder / f"report.{number}.jsonl"
+        file.write_text(f'{{"params":{{"sequence":{number},"clusters":[]}}}}\n{CUT}\n')
+        os.utime(file, (1_700_000_000 + number, 1_700_000_000 + number))
+    return folder
+
+
+def test_ingest_stops_with_the_wanted_report(spark, growing, tmp_path):
+    place = Location.local(str(tmp_path / "table"))
+    first = until(spark, growing, tmp_path, 3)
+    assert (first.found, first.batch, first.latest.first().sequence) == (True, 2, 3)
+    stored = ingested_batches(spark, place)
+    assert {(r.batch, r.sequence) for r in stored.where("reason is null").collect()} == {(0, 1), (1, 2), (2, 3)}
+    assert stored.where("reason = 'bad_json'").count() == 3
+    # nothing to do, then on to the next
+    again = until(spark, growing, tmp_path, 2)
+    assert (again.found, again.batch) == (True, 2)
+    assert ingested_batches(spark, place).count() == 6
+    later = until(spark, growing, tmp_path, 4)
+    assert (later.found, later.batch, later.latest.first().sequence) == (True, 3, 4)
+    assert ingested_batches(spark, place).where("reason is null").count() == 4
+
+
+def test_ingest_gives_up_in_time(spark, growing, tmp_path):
+    ended = until(spark, growing, tmp_path, 99, seconds=20)
+    assert (ended.found, ended.batch, ended.latest.first().sequence) == (False, None, 5)
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    nothing = until(spark, empty, tmp_path / "other", 1, seconds=1)
+    assert not nothing.found and nothing.latest.isEmpty()
+
+
+def test_batch_that_runs_again_adds_nothing(spark, growing, tmp_path):
+    until(spark, growing, tmp_path, 3)
+
+    def stored():
+        rows = ingested_batches(spark, Location.local(str(tmp_path / "table"))).collect()
+        return sorted((r.batch, r.line, r.sequence or 0, r.reason or "") for r in rows)
+
+    rows = stored()
+    # as if the attempt had died before Spark recorded the batch
+    (tmp_path / "progress" / "commits" / "2").unlink()
+    (tmp_path / "progress" / "commits" / ".2.crc").unlink()
+    for name in ("lines", "latest"):
+        (tmp_path / "table" / name / "batch=2" / "_SUCCESS").unlink()
+    assert until(spark, growing, tmp_path, 3).batch == 2
+    assert stored() == rows and len(rows) == 6
