@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from muster.functions.columns import own_columns
 
@@ -75,12 +75,30 @@ def with_fields(df: DataFrame, packed: Column, *names: str) -> DataFrame:
     )
 
 
-def sent_if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """A durable frame of narrow rows, marked for broadcast only if it has at most so many.
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds: texts and arrays by what is in them."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, StringType | BinaryType):
+            size = F.octet_length(column) + 8
+        elif isinstance(field.dataType, ArrayType):
+            each = 8 if not isinstance(field.dataType.elementType, StringType | BinaryType | StructType) else 48
+            size = F.size(column) * each + 8
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size, F.lit(8))
+    return total.cast("long")
+
+
+def sent_if_small(df: DataFrame, most_bytes: int = 24 << 20) -> DataFrame:
+    """A durable frame, marked for broadcast only if its rows were measured to have at most so many
+    bytes (see `row_bytes`).
 
     A larger one is left as it is, for a join by shuffle.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    held = df.agg(F.sum(row_bytes(df)).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(df) if held <= most_bytes else df
 
 
 def over_texts(prepare: Callable[[], Callable[[pa.Array], list]], result: str) -> Callable[[Column], Column]:

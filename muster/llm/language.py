@@ -7,16 +7,17 @@ and the language whose dictionary leaves it smallest is its language.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muster.llm.frames import durable, over_texts, sent_if_small, with_fields
 
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Anything but letters (category L) and the marks (M) that follow one.
+_NO_LETTERS = regex.compile(r"(?:[^\p{L}\p{M}]++\p{M}*+|^\p{M}++)+")
 _SPREAD = 1 << 30
 FIELDS = "struct<lang: string, score: double, margin: double, accepted: boolean>"
 
@@ -29,7 +30,7 @@ class LanguageModel:
 
 
 def letters_of(text: str) -> bytes:
-    """Lower-cased letters, anything between them one space."""
+    """Lower-cased letters with their marks, anything between them one space."""
     return _NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 

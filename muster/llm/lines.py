@@ -76,7 +76,7 @@ def within_one_edit(one: list[bytes], other: list[bytes]) -> bool:
 
 
 def repeated_lines(
-    df: DataFrame, key: str, text: str, *, min_words: int = 3, min_near_words: int = 8
+    df: DataFrame, key: str, text: str, *, min_words: int = 1, min_near_words: int = 4
 ) -> DataFrame:
     """Lines to drop: key, same (a hash of the text), line (from 0), near (else an exact repeat).
 

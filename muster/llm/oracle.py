@@ -140,16 +140,16 @@ LINES = r"""
         SELECT doc_id, number, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM raw
     ),
     kinds AS (
-        SELECT w, min((doc_id, number)) AS first FROM lines WHERE len(w) >= 3 GROUP BY w
+        SELECT w, min((doc_id, number)) AS first FROM lines WHERE len(w) >= 1 GROUP BY w
     ),
     variants AS (
         SELECT w, first, i, w[1 : i] || w[i + 2 :] AS v
-        FROM (SELECT w, first, unnest(range(len(w))) AS i FROM kinds WHERE len(w) >= 8)
+        FROM (SELECT w, first, unnest(range(len(w))) AS i FROM kinds WHERE len(w) >= 4)
     ),
     near AS (
         SELECT a.w FROM variants a JOIN variants b ON a.v = b.v AND a.i = b.i WHERE b.first < a.first
-        UNION SELECT a.w FROM variants a JOIN kinds b ON a.v = b.w WHERE len(b.w) >= 8 AND b.first < a.first
-        UNION SELECT b.w FROM variants a JOIN kinds b ON a.v = b.w WHERE len(b.w) >= 8 AND a.first < b.first
+        UNION SELECT a.w FROM variants a JOIN kinds b ON a.v = b.w WHERE len(b.w) >= 4 AND b.first < a.first
+        UNION SELECT b.w FROM variants a JOIN kinds b ON a.v = b.w WHERE len(b.w) >= 4 AND a.first < b.first
     )
     SELECT doc_id, number AS line, near.w IS NOT NULL AS near
     FROM lines JOIN kinds USING (w) LEFT JOIN near USING (w)

@@ -100,8 +100,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of three words or more that repeat an earlier one, or of eight or more that are near
-    one: one row for each line to drop. The bounds are those of its SQL."""
+    """Lines that repeat an earlier one, and those of four words or more that are near one: one
+    row for each line to drop."""
     return repeated_lines(table(spark, sf_dir, "documents"), "doc_id", "text").select(
         F.col("key").alias("doc_id"), F.col("line").cast("long").alias("line"), "near"
     )

@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -61,6 +62,39 @@ def test_no_language_is_known_without_rows(spark):
     assert (found["lang"], found["score"]) == ("und", 0.0)
 
 
+def test_only_letters_and_their_marks_count(spark):
+    for text in ("½ ²", "Ⅷ", "①", "_ 1 ٣", "\u0301 \u0301", "1\u0301"):
+        assert language.letters_of(text) == b"", text
+    assert language.letters_of("हिन्दी, ²भाषा") == "हिन्दी भाषा".encode()
+    assert language.letters_of("e\u0301a1\u0301b") == "e\u0301a b".encode()
+    model = language.fit_languages(spark.createDataFrame([(t, "en") for t in ENGLISH], "text string, lang string"), "text", "lang")
+    found = language.identify_languages(documents(spark, ["½ ²", "Ⅷ", "①"]), "text", model).collect()
+    assert [(r["lang"], r["score"]) for r in found] == [("und", 0.0)] * 3
+
+
+def test_sizes_are_those_of_a_plain_encoder(spark):
+    model = language.LanguageModel({"de": GERMAN[0].encode(), "en": ENGLISH[0].encode()})
+    rng = random.Random(4)
+    encoders = language.Encoders(model)
+    for n in (1, 300, 40_000):
+        data = language.letters_of(" ".join(rng.choice((ENGLISH[0] + " " + GERMAN[0]).split()) for _ in range(n)))
+        wanted = {}
+        for name, content in model.dictionaries.items():
+            terms = zstandard.ZstdCompressionParameters.from_level(
+                6, source_size=2048, dict_size=len(content), min_match=3, write_content_size=False,
+                write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+            )
+            wanted[name] = 0
+            for i in range(0, len(data), 2048):
+                known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                plain = zstandard.ZstdCompressor(dict_data=known, compression_params=terms)
+                wanted[name] += len(plain.compress(data[i : i + 2048]))
+        got = encoders.sizes(data)
+        assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) <= 0.02 * wanted[k] + 8 for k in got)
+    long = ENGLISH[0] + " and " + ("the old man and the river " * 80_000)
+    assert language.identify_languages(documents(spark, [long]), "text", model).first()["lang"] == "en"
+
+
 def test_narrow_margins_are_not_accepted():
     assert language.decide({"a": 50, "b": 50}, 100, 0.004)[0] == "a"
     assert language.decide({"b": 50, "a": 51}, 1000, 0.004)[3] is False
@@ -425,13 +459,23 @@ def test_repeated_and_near_lines_are_those_of_a_plain_search(spark):
     assert all(all((k, n) in gone or not x.strip() for n, x in enumerate(texts[k].split("\n"))) for k in lost)
 
 
+def test_lines_by_the_defaults(spark):
+    rng = random.Random(8)
+    texts = ["\n".join(words(rng, rng.randrange(7), 6) for _ in range(5)) for _ in range(60)]
+    texts += ["hello there\nx y z a b c d", "les.\nhello there", "les.\nx y z a b c e"]
+    found = lines.repeated_lines(documents(spark, texts), "doc_id", "text").collect()
+    got = {(r["key"], r["line"], r["near"]) for r in found}
+    assert got == plain_repeats(list(enumerate(texts)), 1, 4) and len(got) == len(found)
+    assert {(61, 1, False), (62, 0, False), (62, 1, True)} <= got
+
+
 def test_lines_of_hard_rows(spark):
     text = "one two three four\nx"
     frame = documents(spark, [text, text, None, "", text, "\n\n"], [None, 1, 2, 3, 1, 4])
     found = lines.repeated_lines(frame, "doc_id", "text").collect()
-    assert {(r["key"], r["line"]) for r in found} == {(1, 0)}
+    assert {(r["key"], r["line"]) for r in found} == {(1, 0), (1, 1)}
     kept = lines.without_repeated_lines(frame, "doc_id", "text").collect()
-    assert Counter(r["text"] for r in kept) == {text: 1, "x": 2, None: 1, "": 1, "\n\n": 1}
+    assert Counter(r["text"] for r in kept) == {text: 1, None: 1, "": 1, "\n\n": 1}
     assert lines.repeated_lines(documents(spark, []), "doc_id", "text").count() == 0
 
 
