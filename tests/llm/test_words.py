@@ -1,0 +1,300 @@
+"""Spelling variants, repeated passages and collocations against plain versions of themselves."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from muster.llm import bitmaps, passages, phrases, spelling
+
+DOCS = "doc_id long, text string, lang string, n long, word string, kept string, score int"
+
+
+def documents(spark, rows):
+    """Documents (id, text, language) with columns that clash with names the operators use."""
+    return spark.createDataFrame([(i, t, lang, 1, "w", "k", 1) for i, t, lang in rows], DOCS)
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
+
+
+# --- bitmaps ------------------------------------------------------------------------------------
+
+
+def test_bitmaps_hold_what_was_put_in(spark):
+    rng = random.Random(1)
+    hashes = [rng.randrange(-(2**63), 2**63) for _ in range(300)] + [0, -1, 2**63 - 1, -(2**63)]
+    frame = spark.createDataFrame([(h,) for h in hashes], "h long")
+    bitmap = bitmaps.with_hashes(bitmaps.empty(20), frame, frame.h)
+    assert bitmaps.held(bitmap, np.array(hashes, np.int64).view(np.uint64)).all()
+    others = np.array([rng.randrange(2**64) for _ in range(5000)], np.uint64)
+    assert bitmaps.held(bitmap, others).mean() < 0.01
+    assert not bitmaps.empty(20).any() and bitmaps.with_hashes(bitmap, frame.limit(0), frame.h).sum() == bitmap.sum()
+    with pytest.raises(ValueError):
+        bitmaps.empty(3)
+
+
+# --- spelling -----------------------------------------------------------------------------------
+
+
+@given(st.lists(st.text("abé", min_size=4, max_size=9), min_size=2, max_size=25, unique=True))
+@settings(max_examples=200, deadline=None)
+def test_near_words_share_a_key(found):
+    grams = Counter(w[i : i + 2] for w in found for i in range(len(w) - 1))
+    ranks = {g: n for n, (g, _) in enumerate(sorted(grams.items(), key=lambda x: (x[1], x[0])))}
+    prefix = {w: spelling.gram_prefix(w, ranks) for w in found}
+    chosen = {w: spelling.pivots(w, prefix[w][0], ranks) for w in found}
+    for w, (first, second) in chosen.items():
+        pairs = [(a, b) for a in prefix[w][0] for b in prefix[w][0] if b >= a + 2]
+        least = min(ranks[w[a : a + 2]] + ranks[w[b : b + 2]] for a, b in pairs)
+        assert (first, second) in pairs and ranks[w[first : first + 2]] + ranks[w[second : second + 2]] == least
+    for a, b in combinations(found, 2):
+        if one_edit(a, b):
+            met = [
+                set(spelling.pivot_keys(x, *chosen[x])) & spelling.prefix_keys(y, prefix[y][0])
+                for x, y in ((a, b), (b, a))
+                if prefix[y][1] >= prefix[x][1]
+            ]
+            assert any(met), (a, b)
+
+
+def plain_counts(rows, least=7):
+    counts = Counter()
+    for key, text, _ in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{key}:{word}".encode())
+            if h % 31 == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            if len(word) >= least:
+                counts[word] += 1
+    return {w: n for w, n in counts.items() if n >= 2}
+
+
+def plain_variants(counts):
+    out = {}
+    for w, n in counts.items():
+        near = [o for o in counts if one_edit(w, o)]
+        best = min(near, key=lambda o: (-counts[o], o), default=None)
+        form = best if best is not None and counts[best] >= 10 * n else None
+        out[w] = (form, n, len(near), counts[form] if form else None)
+    def root(w):
+        return w if out[w][0] is None else root(out[w][0])
+    return {w: (f, root(w), n, k, fn) for w, (f, n, k, fn) in out.items()}
+
+
+def spelled(spark, rows):
+    counted = spelling.count_words(documents(spark, rows), "doc_id", "text")
+    found = spelling.spelling_variants(counted).collect()
+    assert len({r["word"] for r in found}) == len(found)
+    return {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in found}
+
+
+def test_spelling_against_all_pairs(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(7, 12))) for _ in range(30)]
+    rows = []
+    for i in range(400):
+        said = []
+        for _ in range(30):
+            w = rng.choice(base[: 1 + rng.randrange(30)])
+            if rng.random() < 0.1:
+                at = rng.randrange(len(w))
+                w = rng.choice([w[:at] + w[at + 1 :], w[:at] + "b" + w[at:], w[:at] + "c" + w[at + 1 :]])
+            said.append(w.upper() if rng.random() < 0.1 else w)
+        rows.append((i, rng.choice([" ", "-", "1 "]).join(said), "en"))
+    wanted = plain_variants(plain_counts(rows))
+    assert spelled(spark, rows) == wanted
+    assert any(form is not None for form, *_ in wanted.values())
+
+
+def test_chains_of_forms_lead_to_their_root(spark):
+    rows = [(1, " ".join(["abcdefgh"] * 2 + ["abcdefgi"] * 20 + ["abcdefii"] * 200 + ["abcdeiii"] * 2000), "en")]
+    found = spelling.spelling_variants(spelling.count_words(documents(spark, rows), "doc_id", "text", damage_one_in=0))
+    roots = {r["word"]: (r["form"], r["root"]) for r in found.collect()}
+    assert roots == {
+        "abcdefgh": ("abcdefgi", "abcdeiii"), "abcdefgi": ("abcdefii", "abcdeiii"),
+        "abcdefii": ("abcdeiii", "abcdeiii"), "abcdeiii": (None, "abcdeiii"),
+    }
+
+
+def test_spelling_of_hard_rows(spark):
+    assert spelled(spark, []) == {}
+    assert spelled(spark, [(1, None, None), (2, "", "en"), (3, "12 short", None)]) == {}
+    rows = [(None, "Abcdefghi ABCDEFGHI", None), (7, "abcdefgx", "en"), (7, "abcdefgx", "en"), (8, "abcdefghi " * 50_000, "en")]
+    assert spelled(spark, rows) == plain_variants(plain_counts(rows))
+
+
+def test_many_words_with_one_rare_gram(spark):
+    """Every word has the same rarest gram: the pivots' other keys keep them apart."""
+    rng = random.Random(9)
+    counts = {"".join(rng.choice("abcd") for _ in range(5)) + "xz" + "".join(rng.choice("abcd") for _ in range(4)): 2 for _ in range(3000)}
+    frame = spark.createDataFrame(list(counts.items()), "word string, n long")
+    met = spelling.near_words(frame).count()
+    by = Counter()
+    for w in counts:
+        for i in range(len(w)):
+            by[(i, w[:i] + w[i + 1 :])] += 1
+    assert met == sum(n * (n - 1) for n in by.values())
+
+
+# --- passages -----------------------------------------------------------------------------------
+
+
+def plain_kept(rows, window):
+    texts = [(k, (t or "").encode().split()) for k, t in rows]
+    first = {}
+    for k, words in texts:
+        for i in range(len(words) - window + 1):
+            at = tuple(words[i : i + window])
+            if k is not None and (first.get(at) is None or k < first[at]):
+                first[at] = k
+    out = Counter()
+    for k, words in texts:
+        gone = set()
+        for i in range(len(words) - window + 1):
+            least = first.get(tuple(words[i : i + window]))
+            if least is not None and (k is None or least < k):
+                gone |= set(range(i, i + window))
+        kept = b" ".join(w for i, w in enumerate(words) if i not in gone).decode()
+        out[(k, len(words), len(gone), kept)] += 1
+    return out
+
+
+def kept(spark, rows, **terms):
+    frame = documents(spark, [(k, t, "en") for k, t in rows])
+    found = passages.with_kept_words(frame, "doc_id", "text", **terms)
+    assert [c for c in frame.columns if c != "kept"] == [c for c in found.columns if c not in ("kept", "n_words", "n_removed")]
+    return Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in found.collect())
+
+
+def shared_texts(rng, n, window):
+    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(window // 2, 4 * window))) for _ in range(12)]
+    texts = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.randrange(5)):
+            words = rng.choice(pool).split()
+            a = rng.randrange(len(words))
+            parts += words[a : a + rng.randrange(1, 3 * window)] if rng.random() < 0.7 else [f"u{rng.randrange(10**6)}"] * 3
+        texts.append(rng.choice([" ", "\n", " \t"]).join(parts))
+    return texts
+
+
+@pytest.mark.parametrize("window", [2, 7, 50])
+def test_passages_against_a_plain_version(spark, window):
+    rng = random.Random(window)
+    texts = shared_texts(rng, 120, window)
+    rows = list(zip(rng.sample(range(1000), len(texts)), texts, strict=True))
+    wanted = plain_kept(rows, window)
+    assert kept(spark, rows, window=window) == wanted
+    assert any(n for _, _, n, _ in wanted)
+
+
+def test_passages_of_hard_rows(spark):
+    rng = random.Random(6)
+    one = " ".join(f"a{i}" for i in range(60))
+    two = " ".join(f"b{i}" for i in range(70))
+    rows = [
+        (None, one), (None, f"x {two}"), (3, one), (3, one), (3, f"{two} y"), (1, two), (9, f"{one} {two}"), (10, one),
+        (11, None), (12, ""), (13, " \n "), (14, " ".join(one.split()[:49])), (15, f"é {one.upper()} {one}"), (15, two),
+        (16, "w " * 30_000), (17, " ".join(f"w{rng.randrange(99)}" for _ in range(60_000)) + one),
+    ]
+    assert kept(spark, rows) == plain_kept(rows, 50)
+    assert kept(spark, []) == Counter()
+
+
+def test_a_full_bitmap_changes_nothing(spark):
+    rng = random.Random(7)
+    rows = list(enumerate(shared_texts(rng, 80, 7)))
+    frame = documents(spark, [(k, t, "en") for k, t in rows])
+    few = passages.repeated_passages(frame, "doc_id", "text", window=7, bits=15).collect()
+    many = passages.repeated_passages(frame, "doc_id", "text", window=7).collect()
+    assert sorted(map(str, few)) == sorted(map(str, many))
+
+
+def test_a_passage_that_very_many_documents_share(spark):
+    rng = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, f"u{rng.randrange(10**9)} {shared} v{rng.randrange(10**9)}") for i in range(1500)]
+    found = kept(spark, rows)
+    assert found == plain_kept(rows, 50)
+    assert sum(n > 0 for _, _, n, _ in found) == 1499
+
+
+# --- phrases ------------------------------------------------------------------------------------
+
+
+def plain_collocations(rows, least, top):
+    counts, totals = {}, Counter()
+    for _, text, lang in rows:
+        lang = lang or "und"
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", "".join(c.lower() if c.isascii() else c for c in text or "")):
+            words = re.findall("[^ \t]+", piece)
+            totals[lang] += len(words)
+            for n in range(1, 5):
+                for i in range(len(words) - n + 1):
+                    counts.setdefault(lang, Counter())[tuple(words[i : i + n])] += 1
+    out = []
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        ranked = []
+        for p, a in candidates.items():
+            inside = any(
+                100 * b >= 80 * a
+                for q, b in candidates.items()
+                if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+            )
+            if not inside:
+                score, _, left, right = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+                ranked.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (score, a, p, left, right) in enumerate(sorted(ranked)[:top], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, totals[lang], -score))
+    return sorted(out)
+
+
+def mined(spark, rows, **terms):
+    found = phrases.collocations(documents(spark, rows), "text", "lang", **terms)
+    assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    return sorted(map(tuple, found.collect()))
+
+
+@pytest.mark.parametrize("sample", [2, 8, 1000])
+def test_collocations_against_a_plain_version(spark, sample):
+    """Also where the sample holds next to nothing, so that all comes from failures of the border."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        said = [rng.choice(["new york city", "big apple", "the", "a.", "Der", "é à", "x,", "of the big"]) for _ in range(40)]
+        rows.append((i, rng.choice([" ", "\t", "  "]).join(said), rng.choice(["en", "de", None])))
+    wanted = plain_collocations(rows, 30, 25)
+    assert mined(spark, rows, top=25, sample_one_in=sample) == wanted
+    assert len({row[0] for row in wanted}) == 3
+
+
+def test_collocations_with_a_crowded_bitmap(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rng.random() ** 3 * 400)}" for _ in range(300)), "en") for i in range(100)]
+    assert mined(spark, rows, bits=15) == plain_collocations(rows, 30, 2000)
+
+
+def test_collocations_of_hard_rows(spark):
+    assert mined(spark, []) == []
+    rows = [(1, None, "en"), (2, "", "en"), (3, " .,;\n", None), (4, "one word", "fr")]
+    assert mined(spark, rows) == []
+    rows += [(5, "a b c d e " * 40_000, "en"), (None, "x\xa0y z. " * 40, None)] + [(6, "to be, or", "en")] * 31
+    assert mined(spark, rows) == plain_collocations(rows, 30, 2000)
