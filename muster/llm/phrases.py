@@ -37,7 +37,7 @@ def tokens_of(text: str | None) -> list[bytes]:
     """Words in lower case, with a break between pieces."""
     if not text:
         return []
-    return text.encode("utf-8", "surrogatepass").translate(_NORMAL).replace(_BREAK, b" \xff ").split(b" ")
+    return text.encode("utf-8", "surrogatepass").translate(_NORMAL).replace(_BREAK, b" \xff ").split()
 
 
 def _mixed(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -60,6 +60,22 @@ def phrase_hash(phrase: str, lang: str) -> int:
     return int(found.view(np.int64)[0])
 
 
+def _near(tokens: np.ndarray, hashes: np.ndarray, added: np.ndarray, longest: int) -> np.ndarray:
+    """The tokens that a phrase of up to `longest` words around an added one may have, with breaks
+    for the others. What comes into reach by additions holds one of them."""
+    inside = tokens != 0
+    ok, mixed = inside, hashes[tokens]
+    edges = np.zeros(len(tokens) + 1, np.int64)
+    for size in range(1, longest):
+        if size > 1:
+            ok, mixed = ok[:-1] & inside[size - 1 :], _mixed(mixed[:-1], hashes[tokens[size - 1 :]])
+        at = np.flatnonzero(ok & held(added, mixed))
+        edges += np.bincount(np.maximum(at - (longest - size), 0), minlength=len(edges))
+        edges -= np.bincount(np.minimum(at + longest, len(tokens)), minlength=len(edges))
+    near = np.where(np.cumsum(edges[:-1]) > 0, tokens, 0)
+    return near[(near != 0) | np.append(True, near[:-1] != 0)]
+
+
 class _Held:
     """The tokens of one language that a task has read and not counted yet."""
 
@@ -70,7 +86,7 @@ class _Held:
         self.size = 0
 
     def add(self, text: str | None) -> None:
-        words = [w for w in tokens_of(text) if w]
+        words = tokens_of(text)
         if words:
             ids = self.ids
             found = [ids.setdefault(w, len(ids)) for w in words]
@@ -92,6 +108,8 @@ class _Held:
         words = pa.array(names, pa.binary())
         self.ids, self.parts, self.size = {_BREAK: 0}, [], 0
         hashes = _word_hashes(names, self.lang)
+        if before is not None:
+            tokens = _near(tokens, hashes, now & ~before, levels.stop - 1)
 
         # of each place: the id of the phrase that begins there, and whether it may be part of more
         ids = tokens
