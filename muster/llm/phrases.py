@@ -2,8 +2,10 @@
 
 Frequent phrases of a sample, at a lowered threshold, are proposed level by level. A full pass counts
 them and their negative border exactly: every phrase that is not proposed though all its parts are.
-Where a phrase of the border turns out frequent, the pass may have missed longer ones, so it joins the
-proposals and a further pass counts what is new in reach, until no border fails.
+Where a phrase of the border turns out frequent, the pass may have missed longer ones. A frequent phrase
+that was not counted holds such a failure, as the least of its parts that is out of reach is one. So the
+failures join the proposals, and a further pass counts all that holds one of them and was not in reach
+before, taking what it newly finds further at once: after it the border is closed.
 
 What is proposed is held as a bitmap of fixed size, in every task. A bit that two phrases share makes
 a pass count more than it must, never less: the counts are exact for any size of bitmap and corpus.
@@ -125,6 +127,8 @@ class _Held:
             if level == levels.stop - 1:
                 break
             part = reach & held(now, mixed)
+            if before is not None:  # what is new here is taken further in the same pass
+                part |= reach & ~reach_before
             part_before = reach_before & held(before, mixed) if before is not None else np.zeros(len(part), bool)
             here = part[ids[:-1]] & (tokens[level:] != 0)
             here &= part[ids[1:]]
@@ -252,15 +256,12 @@ def frequent_phrases(
         .agg(F.sum("n").alias("n"))
     )
     totals = kept.where("single").groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = newest = kept.where(F.col("phrase").isNotNull()).select("lang", "phrase", "n")
-    while True:
-        failed = durable(_unmarked(proposed, newest.where(_length("phrase") < most_words)))
-        if not failed.limit(1).count():
-            return frequent, totals
-        wider = _marked(proposed, failed)
-        more = _counted(rows, range(2, most_words + 1), wider, proposed)
-        newest = durable(more.where(F.col("n") >= least))
-        frequent, proposed = frequent.unionByName(newest), wider
+    frequent = kept.where(F.col("phrase").isNotNull()).select("lang", "phrase", "n")
+    failed = durable(_unmarked(proposed, frequent.where(_length("phrase") < most_words)))
+    if failed.limit(1).count():
+        more = _counted(rows, range(2, most_words + 1), _marked(proposed, failed), proposed)
+        frequent = frequent.unionByName(durable(more.where(F.col("n") >= least)))
+    return frequent, totals
 
 
 def collocations(
