@@ -226,8 +226,10 @@ def _placed(
         F.explode("columns").alias("key"), "size", "node"
     )
     met = durable(star_rows(entries).select("key", "node", "size"))
-    enough = met.groupBy("node", "size").count().where("count > size div 24").select("node")
-    groups = durable(star_rows(met.join(enough, "node")))
+    # a node's columns are those of one text, so counting them in a window holds no more than that
+    shared = F.count("*").over(Window.partitionBy("node"))
+    enough = met.withColumn("shared", shared).where("shared > size div 24").drop("shared")
+    groups = durable(star_rows(enough))
     active = groups.select("node").distinct()
     texts = durable(_texts_of(df, key, text, members, durable(active)))
 
