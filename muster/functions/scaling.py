@@ -9,7 +9,7 @@ from muster.functions.columns import refuse_columns
 
 # The prefix of worker names, and the form of those with a number.
 WORKER_PREFIX = "worker"
-_NUMBERED_WORKER = "^worker-([0-9]+)$"
+NUMBERED_WORKER = "^worker-([0-9]+)$"
 
 # Names generated by one row of `added_names` before it is split further.
 _NAMES_PER_CHUNK = 65_536
@@ -17,7 +17,7 @@ _NAMES_PER_CHUNK = 65_536
 
 def worker_number(name: Column) -> Column:
     """The number at the end of a numbered worker's name, null for any other name."""
-    return F.regexp_extract(name, _NUMBERED_WORKER, 1).try_cast("bigint")
+    return F.regexp_extract(name, NUMBERED_WORKER, 1).try_cast("bigint")
 
 
 def next_number(highest: Column) -> Column:
@@ -54,7 +54,7 @@ def _fitting_number(name: Column) -> Column:
     """As `worker_number`, but a number beyond 64 bits fails the job."""
     message = F.concat(F.lit("a worker number is beyond 64 bits: "), name)
     number = worker_number(name)
-    return F.when(number.isNull() & name.rlike(_NUMBERED_WORKER), F.raise_error(message).cast("bigint")).otherwise(number)
+    return F.when(number.isNull() & name.rlike(NUMBERED_WORKER), F.raise_error(message).cast("bigint")).otherwise(number)
 
 
 def plan_changes(

@@ -17,7 +17,7 @@ from muster.sources.locations import scan, sink
 _DEAD = "DEAD"  # fixed value: the state of an actor that is gone
 
 
-def _in_ranges(df: DataFrame, *order: str) -> DataFrame:
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
     """The rows with `__range`, the number of their range in this order; stored once, so that the
     numbers stay what they are."""
     spark = df.sparkSession
@@ -39,7 +39,7 @@ def live_changes(records: DataFrame, prefix: str = WORKER_PREFIX) -> DataFrame:
     states = records.where(F.col("name").startswith(prefix) & F.col("ts").isNotNull()).select(
         "cluster_id", "name", "ts", "place", (~F.col("state").eqNullSafe(_DEAD)).cast("int").alias("live")
     )
-    rows = _in_ranges(states, "cluster_id", "name", "ts", "place")
+    rows = in_ranges(states, "cluster_id", "name", "ts", "place")
     worker = ["cluster_id", "name"]
     inside = Window.partitionBy("__range", *worker).orderBy("ts", "place")
     # a range's last state of a worker is what the next range with that worker begins from
@@ -76,7 +76,7 @@ def live_counts_at(requests: DataFrame, records: DataFrame, prefix: str = WORKER
     )
     # very many requests of one pool and time are spread, too
     spread = asked.unionByName(changes).withColumn("spread", F.xxhash64("request"))
-    rows = _in_ranges(spread, "cluster_id", "ts", "turn", "spread")
+    rows = in_ranges(spread, "cluster_id", "ts", "turn", "spread")
     so_far = Window.partitionBy("__range", "cluster_id").orderBy("ts", "turn")
     totals = rows.groupBy("__range", "cluster_id").agg(F.sum("change").alias("total"))
     earlier = Window.partitionBy("cluster_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from muster.functions.requests import validate_requests
 from muster.functions.scaling import added_names, clamp_requests, plan_changes
 from muster.operators import pool
+from muster.operators.changes import plan_pool_changes
 from muster.operators.compare import bag_difference
 from muster.operators.ledger import (
     cluster_rows,
@@ -684,6 +685,43 @@ def scale_request_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return added_names(_plans(spark, sf_dir), "snapshot_id")
 
 
+@query(
+    f"""
+    WITH {_PLANS}
+    SELECT event_id AS request, desired, available, CAST(add_first AS VARCHAR) AS add_first, add_count,
+           len(removed) AS remove_count, available + add_count - len(removed) AS planned_size
+    FROM plans
+    UNION ALL
+    SELECT -1, 10, count(*), CASE WHEN count(*) < 10 THEN CAST(max(event_id) + 1 AS VARCHAR) END,
+           greatest(10 - count(*), 0), greatest(count(*) - 10, 0), 10
+    FROM events
+    """
+)
+def pool_change_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans for pools whose names are rows; one pool has as many as there are events."""
+    plans = plan_pool_changes(*tables.pools_of_requests(spark, sf_dir)).plans
+    return plans.select(
+        "request", "desired", "available", _text("add_first"), "add_count", "remove_count", "planned_size"
+    )
+
+
+@query(
+    f"""
+    WITH {_PLANS}
+    SELECT event_id AS request, unnest(removed) AS name FROM plans
+    UNION ALL
+    SELECT -1, name FROM (
+        SELECT 'worker-' || event_id AS name, count(*) OVER () AS names,
+               row_number() OVER (ORDER BY 'worker-' || event_id) AS place
+        FROM events
+    ) WHERE place <= names - 10
+    """
+)
+def pool_change_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names to remove, of the large pool the first in sorted order."""
+    return plan_pool_changes(*tables.pools_of_requests(spark, sf_dir)).removals
+
+
 # --- paths --------------------------------------------------------------------------------------
 
 

@@ -191,6 +191,31 @@ def pool_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pools_of_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests, the names of their pools and the names they give, as rows. Request -1 is about one
+    pool that has a worker for every event."""
+    number = F.col("event_id").cast("string")
+    worker = F.concat(F.lit("worker-"), number).alias("name")
+    asked = scale_requests(spark, sf_dir)
+    one = spark.range(1).select(
+        F.lit(-1).cast("bigint").alias("request"), F.lit(10).cast("bigint").alias("amount"),
+        F.lit(0).cast("bigint").alias("min"), F.lit(None).cast("bigint").alias("max"),
+    )
+    requests = asked.select(F.col("snapshot_id").alias("request"), "amount", "min", "max").unionByName(one)
+    live = pool_snapshots(spark, sf_dir).select(
+        F.col("snapshot_id").alias("request"), F.explode("live").alias("name")
+    )
+    crowd = table(spark, sf_dir, "events").select(F.lit(-1).cast("bigint").alias("request"), worker)
+    wishes = F.explode(
+        F.concat(
+            F.transform(F.coalesce("workers_to_delete", F.array()), lambda n: F.struct(n.alias("name"), F.lit("delete").alias("wish"))),
+            F.transform(F.coalesce("workers_to_keep", F.array()), lambda n: F.struct(n.alias("name"), F.lit("keep").alias("wish"))),
+        )
+    )
+    given = asked.select(F.col("snapshot_id").alias("request"), wishes.alias("w")).select("request", "w.name", "w.wish")
+    return requests, live.unionByName(crowd), given
+
+
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host and path of every page's address; one closed by a slash also gives its host alone."""
     bare = F.regexp_extract("url", "^[a-z]+:/(/[^?#]*)", 1)
