@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -101,6 +102,28 @@ def sent_if_small(df: DataFrame, most_bytes: int = 24 << 20) -> DataFrame:
     return F.broadcast(df) if held <= most_bytes else df
 
 
+def give_back() -> None:
+    """Give memory that is free in this process back to the machine.
+
+    Python workers stay for later tasks, and several are kept for each core where a stage has more than one
+    Python step, so what they hold on to after a task adds up.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives free memory back at the end of each task."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def over_texts(prepare: Callable[[], Callable[[pa.Array], list]], result: str) -> Callable[[Column], Column]:
     """A column function over texts: `prepare` is called once in a task and gives what turns an
     array of texts into results.
@@ -115,5 +138,7 @@ def over_texts(prepare: Callable[[], Callable[[pa.Array], list]], result: str) -
         work = prepare()
         for batch in batches:
             yield pa.array(work(batch), kind)
+        del work
+        give_back()
 
     return compute

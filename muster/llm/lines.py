@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muster.functions.columns import own_columns
-from muster.llm.frames import durable, free_name, sent_if_small
+from muster.llm.frames import durable, free_name, sent_if_small, tidied
 from muster.llm.stars import star_rows
 
 _OCCURRENCE = "key {key}, same long, line int, h1 long, h2 long, halves array<long>"
@@ -141,7 +141,7 @@ def _occurrences(rows: DataFrame, kind: str, min_words: int, min_near_words: int
             if out:
                 yield _with_owners(keys, sames, owners, out, schema)
 
-    return rows.mapInArrow(read, _OCCURRENCE.format(key=kind))
+    return rows.mapInArrow(tidied(read), _OCCURRENCE.format(key=kind))
 
 
 def _with_owners(keys, sames, owners, out, schema) -> pa.RecordBatch:
@@ -167,10 +167,10 @@ def _near_lines(rows: DataFrame, lines: DataFrame, kind: str) -> DataFrame:
     )
     known = durable(_line_texts(rows, candidates))
 
-    emitted = known.mapInArrow(_emit, _VARIANT.format(key=kind))
+    emitted = known.mapInArrow(tidied(_emit), _VARIANT.format(key=kind))
     sizes = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = emitted.repartition(sizes, "variant").sortWithinPartitions("variant", "key", "same", "line", "at")
-    pairs = ordered.select("variant", "at", "h1", "h2").mapInArrow(_meet, _PAIR).distinct()
+    pairs = ordered.select("variant", "at", "h1", "h2").mapInArrow(tidied(_meet), _PAIR).distinct()
 
     texts = known.select("h1", "h2", "norm")
     late = texts.withColumnsRenamed({"h1": "late1", "h2": "late2", "norm": "late"})
@@ -219,7 +219,7 @@ def _line_texts(rows: DataFrame, candidates: DataFrame) -> DataFrame:
             F.col("key").eqNullSafe(F.col("own_key")) & (F.col("same") == F.col("own_same")),
         )
         .select("key", "same", "text", "numbers")
-        .mapInArrow(read, f"key {kind}, same long, line int, h1 long, h2 long, norm binary")
+        .mapInArrow(tidied(read), f"key {kind}, same long, line int, h1 long, h2 long, norm binary")
         .dropDuplicates(["h1", "h2"])
     )
 

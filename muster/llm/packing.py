@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from muster.llm.frames import tidied
+
 
 @dataclass(frozen=True)
 class Lengths:
@@ -173,4 +175,4 @@ def pack_documents(
         if pieces:
             yield from close()
 
-    return rows.mapInArrow(pack, schema)
+    return rows.mapInArrow(tidied(pack), schema)

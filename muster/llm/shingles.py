@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.frames import durable, free_name, sent_if_small
+from muster.llm.frames import durable, free_name, sent_if_small, tidied
 from muster.llm.stars import components, star_rows
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -103,7 +103,7 @@ def _common_columns(rows: DataFrame, width: int, one_in: int, least: int, most:
 
     drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(one_in)) == 0).select("text")
     counted = (
-        drawn.mapInArrow(emit, "shingle long")
+        drawn.mapInArrow(tidied(emit), "shingle long")
         .groupBy("shingle")
         .count()
         .where(F.col("count") >= least)
@@ -154,7 +154,7 @@ def incidence(df: DataFrame, key: str, text: str, *, width: int, percent: int, c
                     names=["key", "same", "node", "size", "columns"],
                 )
 
-    return rows.mapInArrow(read, f"key {kind}, same long, node long, size long, columns array<long>")
+    return rows.mapInArrow(tidied(read), f"key {kind}, same long, node long, size long, columns array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
         pairs.join(texts.withColumnsRenamed({"node": "one", "text": "text_one"}), "one")
         .join(texts.withColumnsRenamed({"node": "other", "text": "text_other"}), "other")
         .select("one", "other", "text_one", "text_other")
-        .mapInArrow(multiply, "one long, other long")
+        .mapInArrow(tidied(multiply), "one long, other long")
     )
 
 
@@ -436,7 +436,7 @@ def _block_product(crowded: DataFrame, texts: DataFrame, width: int, percent: in
                 rows.append((node, component, shingle_set(value, width, hashes)))
         yield from _product(rows, percent)
 
-    return durable(dealt.mapInArrow(multiply, "one long, other long"))
+    return durable(dealt.mapInArrow(tidied(multiply), "one long, other long"))
 
 
 def _product(rows: list[tuple[int, int, np.ndarray]], percent: int) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.llm.frames import durable_step
+from muster.llm.frames import durable_step, tidied
 
 _NAMES = ["key", "node", "size", "hub", "hub_size"]
 
@@ -61,7 +61,7 @@ def star_rows(df: DataFrame, rank: Column | None = None) -> DataFrame:
             key, size, node = (int(c[0]) for c in back)
             yield _batch([(key, node, size, hub, hub_size)])
 
-    return ordered.mapInArrow(link, "key long, node long, size long, hub long, hub_size long")
+    return ordered.mapInArrow(tidied(link), "key long, node long, size long, hub long, hub_size long")
 
 
 def _batch(rows: list[tuple[int, ...]]) -> pa.RecordBatch:
