@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from muster.plans.partitions import shuffled_into
 from muster.sources.locations import OPEN_POLICY, AccessPolicy, Location, scan, sink
 
 PREVIEW_ROWS = 10
@@ -40,21 +41,25 @@ def execute(
     results: Location | None = None,
     run_id: str | None = None,
     preview_rows: int = PREVIEW_ROWS,
+    partitions: int | None = None,
     policy: AccessPolicy = OPEN_POLICY,
 ) -> RunResult:
     """Run a query once and store its rows.
 
     With `to` the rows go there. Otherwise they go to a folder of this run below `results`, and
-    the result carries a preview read back from it, so previewing never reruns the query.
+    the result carries a preview read back from it, so previewing never reruns the query. With
+    `partitions` the query's shuffles have so many in this run; see `shuffled_into`.
     """
     policy.check_frame(df)
     if to is not None:
-        sink(df, to, policy=policy)
+        with shuffled_into(df.sparkSession, partitions):
+            sink(df, to, policy=policy)
         return RunResult(to, None)
     if results is None:
         raise ValueError("the query names no sink and there is no location for unnamed results")
     location = results.child(check_name("run_id", run_id or uuid.uuid4().hex))
-    sink(df, location, policy=policy)
+    with shuffled_into(df.sparkSession, partitions):
+        sink(df, location, policy=policy)
     # The preview reads what this run just wrote: the scan policy is about users' inputs.
     stored = scan(df.sparkSession, location, schema=df.schema)
     return RunResult(location, stored.limit(preview_rows))

@@ -248,6 +248,21 @@ def local_scan_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, copy, format="orc", schema=orders.schema)
 
 
+@query(
+    """
+    SELECT 7 AS partitions, count(DISTINCT o_custkey) AS customers, count(*) AS orders FROM orders
+    """
+)
+def run_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many partitions a run had that asked for seven behind its shuffle."""
+    by_customer = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    numbered = by_customer.withColumn("part", F.spark_partition_id())
+    run = execute(numbered, results=scratch_location(spark, "results"), partitions=7)
+    return scan(spark, run.location).agg(
+        F.count_distinct("part").alias("partitions"), F.count("*").alias("customers"), F.sum("n").alias("orders")
+    )
+
+
 @query("SELECT * FROM orders")
 def partitioned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_partitions(table(spark, sf_dir, "orders"), 4)
