@@ -38,6 +38,7 @@ _HADOOP_NAMES = {
 
 _URI = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):(/.*)", re.DOTALL)
 _RESERVED_OPTIONS = {"path", "paths"}
+_GLOB = re.compile(r"[\\{}\[\]*?]")
 
 
 @dataclass(frozen=True)
@@ -205,6 +206,11 @@ def _check_options(options: Mapping[str, object] | None) -> None:
         raise ValueError(f"options may not redirect the location: {sorted(clash)}")
 
 
+def _literal(uri: str) -> str:
+    """A URI that readers, who take paths as patterns, match with itself alone."""
+    return _GLOB.sub(r"\\\g<0>", uri)
+
+
 def scan(
     spark: SparkSession,
     location: Location,
@@ -213,9 +219,9 @@ def scan(
     options: Mapping[str, object] | None = None,
     policy: AccessPolicy = OPEN_POLICY,
 ) -> DataFrame:
-    """Read the files of a location."""
+    """Read the files of a location. Its path is taken as it is, not as a pattern."""
     policy.check_scan(location)
-    return _prepared(spark.read, location, format, schema, options).load(location.uri)
+    return _prepared(spark.read, location, format, schema, options).load(_literal(location.uri))
 
 
 def scan_stream(

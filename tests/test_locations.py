@@ -120,3 +120,12 @@ def test_cached_and_joined_frames_are_refused(spark, tmp_path):
             policy.check_frame(tried)
     policy.check_frame(spark.range(2))
     cached.unpersist()
+
+
+@pytest.mark.parametrize("name", ["a*", "a?", "{a,b}", "[ab]"])
+def test_paths_are_not_patterns(spark, tmp_path, name):
+    root = Location.local(str(tmp_path))
+    for other in ("ab", "a", "b"):
+        sink(spark.range(5), root.child(other))
+    sink(spark.range(3), root.child(name))
+    assert scan(spark, root.child(name)).count() == 3
