@@ -10,6 +10,7 @@ what is left, full rows are multiplied to exact overlaps.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,8 +199,9 @@ def near_duplicates(
     Groups are never expanded into all pairs. In each column every row is paired with a hub, first
     with the smallest row, then with one drawn by hash. What belongs to different components even
     then is compared in the end: where rows meet in columns that at most `crowd` rows have, pairs
-    with as many columns as links need; rows that meet in a column of more are multiplied in
-    blocks of about `crowd` rows, without the pairs that are of one component already.
+    that can have as many columns as links need. Rows that meet in columns of more alone are
+    multiplied in blocks of about `crowd` rows, without the pairs that are of one component already
+    and without kinds of rows, by size and number of such columns, that can't link on those alone.
     """
     placed = durable(
         _placed(df, key, text, width=width, percent=percent, sample_one_in=sample_one_in, crowd=crowd)
@@ -353,71 +355,48 @@ def _mixed(groups: DataFrame, found: DataFrame) -> DataFrame:
     return durable(placed.join(several, "key", "left_semi"))
 
 
-def _across(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share as many columns as rows of their sizes must."""
-    other = mixed.select(
+def _across(usual: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that meet in these columns and can share as many as rows of
+    their sizes must, if they also share all the crowded columns that both can."""
+    other = usual.select(
         "key",
         F.col("node").alias("other"),
         F.col("size").alias("other_size"),
         F.col("component").alias("other_component"),
+        F.col("crowded").alias("other_crowded"),
     )
     return durable(
-        mixed.select("key", F.col("node").alias("one"), "size", "component")
+        usual.select("key", F.col("node").alias("one"), "size", "component", "crowded")
         .join(other, "key")
         .where((F.col("component") < F.col("other_component")) & _can_link(percent))
-        .groupBy("one", "other", "size", "other_size")
+        .groupBy("one", "other", "size", "other_size", "crowded", "other_crowded")
         .count()
-        .where(_can_link(percent, "count"))
+        .withColumn("shared", F.col("count") + F.least("crowded", "other_crowded"))
+        .where(_can_link(percent, "shared"))
         .select("one", "other")
     )
 
 
 def _by_crowd(mixed: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of columns that at most `crowd` nodes have, and those of the others.
+    """The rows of columns that at most `crowd` nodes have, with how many other columns their nodes
+    have (`crowded`), and the rows of those others.
 
-    A pair with no crowded column in common has all its columns among the first, so counting
-    there is whole; a pair with one is among the nodes of the second.
+    A pair that meets in an uncrowded column is found there. One that doesn't shares crowded
+    columns alone, no more of them than either node has.
     """
     many = mixed.groupBy("key").count().where(F.col("count") > crowd).select("key")
     many = durable(many)
-    return mixed.join(many, "key", "left_anti"), durable(mixed.join(many, "key", "left_semi"))
+    crowded = durable(mixed.join(many, "key", "left_semi"))
+    own = crowded.groupBy("node").agg(F.count("*").alias("crowded"))
+    usual = mixed.join(many, "key", "left_anti").join(own, "node", "left")
+    return durable(usual.withColumn("crowded", F.coalesce("crowded", F.lit(0)))), crowded
 
 
 def _block_product(crowded: DataFrame, texts: DataFrame, width: int, percent: int, crowd: int) -> DataFrame:
-    """Links between nodes of different components that share a crowded column.
-
-    Nodes that such columns connect form a cluster. Its nodes are dealt by hash into blocks of
-    about `crowd`, those of a large component into blocks of its own; every two blocks of a
-    cluster are multiplied in a task of their own, but two of one component.
-    """
-    edges = star_rows(crowded).where("node <> hub").select(F.col("node").alias("one"), F.col("hub").alias("other"))
-    clusters = components(edges.distinct()).select("node", F.col("component").alias("cluster"))
-    nodes = crowded.select("node", "component").distinct().join(clusters, "node")
-    sizes = nodes.groupBy("cluster", "component").agg(F.count("*").alias("rows"))
-    pooled = F.when(F.col("rows") > crowd, F.col("component"))
-    sizes = sizes.withColumn("pool", pooled)
-    pools = sizes.groupBy("cluster", "pool").agg(F.ceil(F.sum("rows") / crowd).alias("blocks"))
-    placed = durable(
-        nodes.join(sizes, ["cluster", "component"])
-        .join(
-            pools.select(F.col("cluster").alias("c"), F.col("pool").alias("p"), "blocks"),
-            (F.col("cluster") == F.col("c")) & F.col("pool").eqNullSafe(F.col("p")),
-        )
-        .select("node", "component", "cluster", "pool", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    )
-    each = F.struct(F.coalesce("pool", F.lit(0)).alias("pool"), F.col("pool").isNull().alias("mixed"), "block")
-    blocks = durable(placed.select("cluster", each.alias("block")).distinct())
-    pairs = (
-        blocks.join(blocks.select("cluster", F.col("block").alias("with")), "cluster")
-        .where("block <= with and (block.mixed or with.mixed or block.pool <> with.pool)")
-        .select("cluster", "block", "with", F.xxhash64("cluster", "block", "with").alias("task"))
-    )
-    sides = F.when(F.col("block") == F.col("with"), F.array("block")).otherwise(F.array("block", "with"))
-    members = placed.select("node", "component", "cluster", each.alias("side"))
+    """Links between nodes of different components that meet in crowded columns alone."""
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
-        pairs.select("cluster", "task", F.explode(sides).alias("side"))
-        .join(members, ["cluster", "side"])
+        _block_tasks(crowded, percent, crowd)
         .join(texts, "node")
         .select("task", "node", "component", "text")
         .repartition(partitions, "task")
@@ -439,6 +418,71 @@ def _block_product(crowded: DataFrame, texts: DataFrame, width: int, percent: in
     return durable(dealt.mapInArrow(tidied(multiply), "one long, other long"))
 
 
+def _block_tasks(crowded: DataFrame, percent: int, crowd: int) -> DataFrame:
+    """task, node and component: the nodes of the blocks that a task of the product multiplies.
+
+    Nodes that crowded columns connect form a cluster. Its nodes are dealt into blocks of about
+    `crowd` of the same kind: alike in size and number of crowded columns, and of one component
+    where that is large. Two blocks, not both of one component, are a task if rows of their kinds
+    can link without an uncrowded column in common; of pages made from one template, few or none can.
+    """
+    edges = star_rows(crowded).where("node <> hub").select(F.col("node").alias("one"), F.col("hub").alias("other"))
+    clusters = components(edges.distinct()).select("node", F.col("component").alias("cluster"))
+    each = crowded.groupBy("node", "component", "size").agg(F.count("*").alias("crowded"))
+    nodes = durable(each.join(clusters, "node"))
+    large = nodes.groupBy("cluster", "component").agg(F.count("*").alias("rows")).where(F.col("rows") > crowd)
+    likeness = F.struct(
+        F.floor(F.log("size") / math.log(1.03)).alias("sizes"), F.floor(F.log("crowded") / math.log(1.25)).alias("shares")
+    )
+    pooled = F.struct(F.coalesce("pool", F.lit(0)).alias("pool"), F.col("pool").isNull().alias("mixed"), "likeness")
+    sorted_out = nodes.join(
+        large.select("cluster", "component", F.col("component").alias("pool")), ["cluster", "component"], "left"
+    ).select("node", "component", "cluster", "size", "crowded", likeness.alias("likeness"), "pool")
+    sorted_out = durable(sorted_out.withColumn("kind", pooled).drop("likeness", "pool"))
+    kinds = durable(
+        sorted_out.groupBy("cluster", "kind").agg(
+            F.ceil(F.count("*") / crowd).alias("blocks"),
+            F.min("size").alias("low"),
+            F.max("size").alias("high"),
+            F.max("crowded").alias("most"),
+        )
+    )
+    with_kinds = kinds.withColumnsRenamed({c: f"other_{c}" for c in ("kind", "blocks", "low", "high", "most")})
+    apart = F.col("kind.mixed") | F.col("other_kind.mixed") | (F.col("kind.pool") != F.col("other_kind.pool"))
+    block, other = F.struct("kind", "block").alias("place"), F.struct(F.col("other_kind").alias("kind"), F.col("other_block").alias("block"))
+    tasks = (
+        kinds.join(with_kinds, "cluster")
+        .where((F.col("kind") <= F.col("other_kind")) & apart & _kinds_can_link(percent))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("other_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1)))
+        .where("kind <> other_kind or block <= other_block")
+        .select(
+            "cluster",
+            F.xxhash64("cluster", "kind", "block", "other_kind", "other_block").alias("task"),
+            F.explode(F.array_distinct(F.array(block, other))).alias("place"),
+        )
+    )
+    placed = sorted_out.join(kinds.select("cluster", "kind", "blocks"), ["cluster", "kind"]).select(
+        "cluster", "node", "component", F.struct("kind", F.pmod(F.xxhash64("node"), "blocks").alias("block")).alias("place")
+    )
+    return tasks.join(placed, ["cluster", "place"]).select("task", "node", "component")
+
+
+def _kinds_can_link(percent: int) -> Column:
+    """Whether a row of one kind can link with one of the other and share crowded columns only.
+
+    As in `_can_link`, for the sizes from `low` to `high` and at most `most` crowded columns.
+    """
+
+    def rest(low: str, high: str) -> Column:
+        return F.ceil(F.col(high) * percent / 100) - 1 - F.floor(F.col(low) / 24)
+
+    need = F.ceil((F.col("low") + F.col("other_low")) * percent / (100 + percent))
+    least = need - F.greatest(rest("low", "high"), rest("other_low", "other_high"))
+    near = (F.col("high") * 100 >= F.col("other_low") * percent) & (F.col("other_high") * 100 >= F.col("low") * percent)
+    return near & (F.least("most", "other_most") >= least)
+
+
 def _product(rows: list[tuple[int, int, np.ndarray]], percent: int) -> Iterator[pa.RecordBatch]:
     """The links of a block of the matrix: overlaps of each row with all later ones at once."""
     if not rows:
