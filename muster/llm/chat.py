@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
@@ -254,3 +254,40 @@ def message_events(rows: DataFrame) -> DataFrame:
         "role",
         "text",
     )
+
+
+DRAFT = "</turn> draft "
+
+
+def dealt_events(rows: DataFrame) -> DataFrame:
+    """A table of final messages as a log in which they come about step by step.
+
+    A hash of conversation and turn decides how: said at once, streamed in deltas, edited after a
+    draft, or regenerated after a streamed draft. What is left at the end is the row's text, empty
+    for null. Rows of one turn are messages in order of role and text. No rows give no events.
+    """
+    number = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    text = F.coalesce("text", F.lit(""))
+    third = F.floor(F.length(text) / 3).cast("int")
+    first, second = F.substr(text, F.lit(1), third), F.substr(text, third + 1, third)
+    last, rest = F.substr(text, 2 * third + 1), F.substr(text, third + 1)
+
+    def steps(*said: tuple[str, Column]) -> Column:
+        return F.array(*(F.struct(F.lit(i).alias("step"), F.lit(k).alias("kind"), t.alias("text")) for i, (k, t) in enumerate(said)))
+
+    draft = F.lit(DRAFT)
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    log = (
+        F.when(way == 0, steps(("message", text)))
+        .when(way == 1, steps(("message", first), ("delta", second), ("delta", last)))
+        .when(way == 2, steps(("message", draft), ("edit", first), ("delta", rest)))
+        .otherwise(steps(("message", first), ("delta", draft), ("regenerate", first), ("delta", second), ("delta", last)))
+    )
+    return rows.select("conv_id", "turn", "role", number.alias("number"), F.explode(log).alias("event")).select(
+        "conv_id",
+        "turn",
+        (F.col("number").cast("long") * 8 + F.col("event.step")).alias("sequence"),
+        "event.kind",
+        "role",
+        "event.text",
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm import oracle
-from muster.llm.chat import format_log, message_events, read_back
+from muster.llm.chat import dealt_events, format_log, read_back
 from muster.llm.decontamination import find_benchmark
 from muster.llm.fingerprints import fingerprint_documents
 from muster.llm.frames import held_out, table
@@ -57,13 +57,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the formatted conversations say, read back from them."""
+    """What the formatted conversations say, read back from them. They come from a log of deltas,
+    edits and regenerations."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame(
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
     )
-    return read_back(format_log(message_events(rows.unionByName(extra))))
+    return read_back(format_log(dealt_events(rows.unionByName(extra))))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,6 +266,22 @@ def test_a_long_conversation_is_many_segments_in_order(spark):
     assert found["loss_sha256"] == hashlib.sha256("".join(t for _, _, r, t in rows if r == "assistant").encode()).hexdigest()
 
 
+def test_a_log_of_drafts_ends_in_the_given_texts(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c}é\\{t}" * (c % 5)) for c in range(12) for t in range(6)]
+    rows += [(0, 1, "assistant", "twice"), (0, 1, "assistant", "twice"), (3, None, "user", None), (None, 2, None, "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    events = chat.dealt_events(table.withColumn("number", F.lit(1)))
+    assert {r["kind"] for r in events.select("kind").distinct().collect()} == set(chat.KINDS)
+    read = {}
+    for r in chat.format_log(events.repartition(5)).orderBy("conv_id", "part", "segment").collect():
+        read.setdefault(r["conv_id"], []).extend((a, b) for a, b, _, _ in chat.read_turns(r["formatted"]))
+    wanted = {}
+    for c, _, role, text in sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+        wanted.setdefault(c, []).append((role or "", text or ""))
+    assert read == wanted
+    assert chat.dealt_events(table.limit(0)).count() == 0
+
+
 # --- packing ------------------------------------------------------------------------------------
 
 
@@ -609,6 +625,41 @@ def test_components_are_those_of_all_pairs(spark, crowd):
     assert kept == {key for key, (size, least) in got.items() if key == least}
 
 
+def test_pages_of_one_template_are_not_multiplied(spark, monkeypatch):
+    tasks, plain = [], shingles._block_product
+
+    def counted(crowded, texts, width, percent, crowd):
+        tasks.append(shingles._block_tasks(crowded, percent, crowd).count())
+        return plain(crowded, texts, width, percent, crowd)
+
+    monkeypatch.setattr(shingles, "_block_product", counted)
+    rng = random.Random(23)
+    template = words(rng, 90)
+    rows = [(i, template + " " + words(rng, 26)) for i in range(600)]
+    near = rows[7][1].replace(rows[7][1].split(" ")[100], "z")
+    rows.append((900, near))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = shingles.near_duplicates(frame, "doc_id", "text").collect()
+    assert {r["key"]: r["component"] for r in found} == {i: 7 if i == 900 else i for i, _ in rows}
+    assert sum(tasks) == 0
+
+
+def test_kinds_that_can_link_on_crowded_columns_are_multiplied(spark):
+    rows = [(k, 112, n, n) for n in range(300) for k in range(30)] + [
+        (k, 112, n, n) for n in range(300, 600) for k in range(7)
+    ]
+    crowded = spark.createDataFrame(rows, "key long, size long, node long, component long")
+    dealt = shingles._block_tasks(crowded, 75, 256).collect()
+    assert {r["node"] for r in dealt} == set(range(300))
+    met = Counter(pair for t in {r["task"] for r in dealt} for pair in _pairs(t, dealt))
+    assert len(met) == 300 * 299 // 2
+
+
+def _pairs(task, dealt):
+    nodes = sorted(r["node"] for r in dealt if r["task"] == task)
+    return [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :]]
+
+
 def test_components_of_hard_rows(spark):
     text = "one two three four five six"
     frame = documents(spark, [text, text, text, None, text.upper()], [5, 5, None, 1, 9])
