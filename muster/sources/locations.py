@@ -144,7 +144,8 @@ class AccessPolicy:
 
     Every file below a location belongs to the location's file system, so its scheme decides and
     no file has to be listed to check a location. Frames that were not read through `scan` are
-    checked by the root paths in their plan, cached frames too.
+    checked by the root paths in their plan, cached frames, subqueries and streams of files too. Frames
+    of an RDD or a checkpoint have no paths in their plan and pass.
     """
 
     allow_local_scans: bool = True
@@ -167,19 +168,37 @@ class AccessPolicy:
 
 
 def _root_paths(df: DataFrame) -> Iterator[str]:
-    """Where the file relations of a frame's plan begin."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.getClass().getSimpleName() != "LogicalRelation":
-            continue
+    """Where the files that a frame's plan reads begin, those of its subqueries and streams too."""
+    conf = df.sparkSession._jsc.hadoopConfiguration()
+    top = df._jdf.queryExecution().analyzed()
+    plans = [top, *_items(top.subqueriesAll())]
+    for leaf in (leaf for plan in plans for leaf in _items(plan.collectLeaves())):
+        for path in _paths_of(leaf, df.sparkSession._jvm.org.apache.hadoop.fs.Path):
+            yield path.getFileSystem(conf).makeQualified(path).toString()
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _paths_of(leaf, to_path) -> list:
+    """Root paths of a plan's leaf: a relation of files, of a table's location, or a stream of files."""
+    kind = leaf.getClass().getSimpleName()
+    if kind == "LogicalRelation":
         relation = leaf.relation()
         if relation.getClass().getSimpleName() == "HadoopFsRelation":
-            roots = relation.location().rootPaths()
-            for k in range(roots.size()):
-                path = roots.apply(k)
-                conf = df.sparkSession._jsc.hadoopConfiguration()
-                yield path.getFileSystem(conf).makeQualified(path).toString()
+            return _items(relation.location().rootPaths())
+    elif kind == "DataSourceV2Relation":
+        table = leaf.table()
+        if any(m.getName() == "fileIndex" for m in table.getClass().getMethods()):
+            return _items(table.fileIndex().rootPaths())
+    elif kind == "HiveTableRelation":
+        return [to_path(leaf.tableMeta().location())]
+    elif kind == "StreamingRelation":
+        source = leaf.dataSource()
+        named = source.options().get("path")
+        return [to_path(p) for p in [*_items(source.paths()), *([named.get()] if named.isDefined() else [])]]
+    return []
 
 
 OPEN_POLICY = AccessPolicy()

@@ -119,6 +119,10 @@ def literal_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'joined', false, count(*) FROM orders
     UNION ALL SELECT 'plain', false, count(*) FROM orders
     UNION ALL SELECT 'literal', true, 1
+    UNION ALL SELECT 'in', false, count(*) FROM range(1000) t(id) WHERE id IN (SELECT o_custkey FROM orders)
+    UNION ALL SELECT 'exists', false, count(*) FROM range(1000) t(id)
+        WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = id)
+    UNION ALL SELECT 'scalar', false, count(*) FROM range(1000) t(id) WHERE id > (SELECT min(o_custkey) FROM orders)
     """
 )
 def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +137,13 @@ def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cached": cached,
         "literal": spark.range(1),
     }
+    wheres = {
+        "in": "id IN (SELECT o_custkey FROM {orders})",
+        "exists": "EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = id)",
+        "scalar": "id > (SELECT min(o_custkey) FROM {orders})",
+    }
+    for name, where in wheres.items():
+        frames[name] = spark.sql(f"SELECT id FROM {{ids}} WHERE {where}", ids=spark.range(1000), orders=orders)
     policy = AccessPolicy(allow_local_scans=False)
     found = None
     for name, frame in frames.items():

@@ -129,3 +129,36 @@ def test_paths_are_not_patterns(spark, tmp_path, name):
         sink(spark.range(5), root.child(other))
     sink(spark.range(3), root.child(name))
     assert scan(spark, root.child(name)).count() == 3
+
+
+@pytest.mark.parametrize(
+    "where",
+    [
+        "id IN (SELECT id FROM {t})",
+        "EXISTS (SELECT 1 FROM {t} AS u WHERE u.id = ids.id)",
+        "id > (SELECT min(id) FROM {t} WHERE id IN (SELECT 1))",
+        "id IN (SELECT 1 WHERE 1 = (SELECT max(id) FROM {t}))",
+    ],
+)
+def test_subqueries_are_refused(spark, tmp_path, where):
+    place = Location.local(str(tmp_path / "t"))
+    sink(spark.range(3), place)
+    policy = AccessPolicy(allow_local_scans=False)
+    text = f"SELECT id FROM {{ids}} AS ids WHERE {where}"
+    with pytest.raises(PermissionError):
+        policy.check_frame(spark.sql(text, ids=spark.range(9), t=spark.read.parquet(place.uri)))
+    policy.check_frame(spark.sql(text, ids=spark.range(9), t=spark.range(3)))
+
+
+def test_streams_and_second_version_scans_are_refused(spark, tmp_path, settings):
+    place = Location.local(str(tmp_path / "t"))
+    sink(spark.range(3), place)
+    policy = AccessPolicy(allow_local_scans=False)
+    with pytest.raises(PermissionError):
+        policy.check_frame(spark.readStream.schema("id long").parquet(place.uri).where("id > 1"))
+    policy.check_frame(spark.readStream.format("rate").load())
+    settings(spark__sql__sources__useV1SourceList="")
+    frame = spark.read.parquet(place.uri)
+    assert frame._jdf.queryExecution().analyzed().getClass().getSimpleName() == "DataSourceV2Relation"
+    with pytest.raises(PermissionError):
+        policy.check_frame(frame.where("id > 1"))
