@@ -89,10 +89,18 @@ def with_partitions(
 
 
 def _workers(spark: SparkSession) -> int:
-    if spark.sparkContext.master.startswith("local"):
+    """The executors the session asks for or, where it states none, those it has now."""
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         return 1
     for setting in ("spark.executor.instances", "spark.dynamicAllocation.maxExecutors"):
         value = spark.conf.get(setting, None)
-        if value is not None and value.isdigit() and int(value) > 0:
+        # as many as there can be is no number of workers
+        if value is not None and value.isdigit() and 0 < int(value) < 2**31 - 1:
             return int(value)
-    raise ValueError("give the number of workers: the session does not state it")
+    if not _executors(spark):
+        spark.sparkContext.parallelize([0], 1).count()  # waits for a first one
+    return max(1, _executors(spark))
+
+
+def _executors(spark: SparkSession) -> int:
+    return spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1  # one is the driver

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from muster.operators.compare import same_rows
+from muster.plans import run as plans_run
 from muster.plans.run import execute, with_partitions
 from muster.plans.scratch import scratch_location
 from muster.sources.locations import AccessPolicy, Location, scan
@@ -87,6 +88,20 @@ def test_partition_counts(spark):
         with_partitions(df, 0)
 
 
+def test_workers_of_a_cluster_that_names_no_number(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    df = spark.range(0, 1000, 1, 3)
+    assert with_partitions(df, 4).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(plans_run, "_executors", lambda spark: 3)
+    assert with_partitions(df, 4).rdd.getNumPartitions() == 12
+    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[3,2,1024]")
+    assert with_partitions(df, 4).rdd.getNumPartitions() == 12
+    assert same_rows(with_partitions(df, 4), df)
+    unbounded = {"spark.dynamicAllocation.maxExecutors": str(2**31 - 1)}
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, name, default=None: unbounded.get(name, default))
+    assert plans_run._workers(spark) == 3
+
+
 def test_partitions_are_even_whatever_the_rows(spark):
     df = spark.range(0, 9000, 1, 3).selectExpr("1 as k")
     sizes = with_partitions(df, 6).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
