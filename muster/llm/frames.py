@@ -7,6 +7,7 @@ import ctypes
 import re
 import shutil
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,6 +55,17 @@ def durable_step(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(kept.toJavaRDD(), kept.schema()), spark)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles and checkpoints that no frame needs any more.
+
+    Its cleaner goes by the driver's garbage collection, which comes seldom while a driver only plans,
+    so shuffles of steps long kept as checkpoints stay on the executors' disks. Checkpoints go only
+    where `spark.cleaner.referenceTracking.cleanCheckpoints` is set.
+    """
+    time.sleep(1.2)  # frames dropped in Python reach the JVM within a second
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name not in the frame, ignoring case."""
     taken = {name.lower() for name in df.columns}

@@ -5,7 +5,8 @@ Rows of the incidence matrix are different shingle sets, columns are shingles. T
 partitions, and only over the columns that size bounds leave: of a row's n entries any partner must
 share ceil(percent * n / 100), so of its first n - that + 1 + m columns, in any fixed order, at least
 m + 1 are shared. A row with fewer has no partner; pairs that meet in too few of them don't link; of
-what is left, full rows are multiplied to exact overlaps.
+what is left, full rows are multiplied to exact overlaps. Most pairs that can't link are told before
+by marks of a few bits for each column, which bound the overlap from above.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.frames import durable, free_name, sent_if_small, tidied
+from muster.llm.frames import durable, free_name, freed, sent_if_small, tidied
 from muster.llm.stars import components, star_rows
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -158,6 +159,84 @@ def incidence(df: DataFrame, key: str, text: str, *, width: int, percent: int, c
     return rows.mapInArrow(tidied(read), f"key {kind}, same long, node long, size long, columns array<long>")
 
 
+def _entries(matrix: DataFrame) -> DataFrame:
+    """The entries of the product, with the column as key: key, size, node."""
+    return matrix.where(F.col("columns").isNotNull()).select(F.explode("columns").alias("key"), "size", "node")
+
+
+def marks_of(sets: np.ndarray) -> np.ndarray:
+    """A row's columns as marks in a field of 4 to 8 bits for each, as bytes."""
+    bits = max(6, int(4 * len(sets) - 1).bit_length())
+    marked = np.zeros(1 << bits, np.uint8)
+    marked[sets >> np.uint64(64 - bits)] = 1
+    return np.packbits(marked)
+
+
+def most_overlap(one: np.ndarray, size: int, other: np.ndarray, other_size: int) -> int:
+    """No less than the overlap of two rows with these marks.
+
+    A mark that the other row lacks is of at least one column that it lacks. The longer field is
+    folded to the length of the shorter first: a mark there stands for the marks beside each other.
+    """
+    while len(one) > len(other):
+        one = _folded(one)
+    while len(other) > len(one):
+        other = _folded(other)
+    return min(
+        size - int(np.bitwise_count(one & ~other).sum()), other_size - int(np.bitwise_count(other & ~one).sum())
+    )
+
+
+def _folded(marks: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(marks)
+    return np.packbits(bits[::2] | bits[1::2])
+
+
+def _marks(texts: DataFrame, width: int) -> DataFrame:
+    """node, size and marks of the rows with these texts."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Words()
+        for batch in batches:
+            found = [shingle_set(value.as_py(), width, hashes) for value in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node"),
+                    pa.array([len(f) for f in found], pa.int64()),
+                    pa.array([marks_of(f).tobytes() for f in found], pa.binary()),
+                ],
+                names=["node", "size", "marks"],
+            )
+
+    return texts.select("node", "text").mapInArrow(tidied(mark), "node long, size long, marks binary")
+
+
+def _overlapping(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (one, other) that can link by their marks: texts are then dealt to few others."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ones, sizes, marks_one, others, other_sizes, marks_other = batch.columns
+            keep = []
+            for n, a, m, b in zip(sizes.to_pylist(), marks_one, other_sizes.to_pylist(), marks_other, strict=True):
+                one, other = (np.frombuffer(x.as_buffer(), np.uint8) for x in (a, b))
+                keep.append((100 + percent) * most_overlap(one, n, other, m) >= percent * (n + m))
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([ones.filter(chosen), others.filter(chosen)], names=["one", "other"])
+
+    return (
+        pairs.join(marks.withColumnsRenamed({"node": "one", "marks": "marks_one"}), "one")
+        .join(marks.withColumnsRenamed({"node": "other", "size": "other_size", "marks": "marks_other"}), "other")
+        .select("one", "size", "marks_one", "other", "other_size", "marks_other")
+        .mapInArrow(tidied(compare), "one long, other long")
+    )
+
+
+def _needed(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of these nodes, so that a join deals out no others."""
+    return texts.join(sent_if_small(durable(nodes.distinct())), "node", "left_semi")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (one, other) whose rows of the matrix link. `texts` has node and text."""
 
@@ -177,6 +256,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                     [pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["one", "other"]
                 )
 
+    pairs = durable(pairs)
+    texts = _needed(texts, pairs.select(F.explode(F.array("one", "other")).alias("node")))
     return (
         pairs.join(texts.withColumnsRenamed({"node": "one", "text": "text_one"}), "one")
         .join(texts.withColumnsRenamed({"node": "other", "text": "text_other"}), "other")
@@ -223,30 +304,42 @@ def _placed(
     """key, same, size and component, a node of the row's component."""
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     common = _common_columns(rows, width, sample_one_in, 3, 1 << 20)
-    members = durable(incidence(rows, "key", "text", width=width, percent=percent, common=common))
-    entries = members.where(F.col("columns").isNotNull()).select(
-        F.explode("columns").alias("key"), "size", "node"
-    )
-    met = durable(star_rows(entries).select("key", "node", "size"))
+    spark = df.sparkSession
+    matrix = durable(incidence(rows, "key", "text", width=width, percent=percent, common=common))
+    met = durable(star_rows(_entries(matrix)).select("key", "node", "size"))
+    members = durable(matrix.drop("columns"))
+    del matrix
+    freed(spark)
     # a node's columns are those of one text, so counting them in a window holds no more than that
     shared = F.count("*").over(Window.partitionBy("node"))
     enough = met.withColumn("shared", shared).where("shared > size div 24").drop("shared")
     groups = durable(star_rows(enough))
+    del met, enough
     active = groups.select("node").distinct()
     texts = durable(_texts_of(df, key, text, members, durable(active)))
+    freed(spark)
 
     stars = _fewest(_counted(groups).where(_can_link(percent, "count")), 3)
     links = durable(_verified(stars, texts, width, percent))
     found = components(links)
     mixed = _mixed(groups, found)
+    del groups, active, stars
+    freed(spark)
     if mixed.limit(1).count():
+        marks = durable(_marks(texts, width))
         again = star_rows(mixed, F.xxhash64("node", "key"))
         more = _fewest(_apart(_counted(again), found).where(_can_link(percent)), 16)
-        links = links.unionByName(durable(_verified(more, texts, width, percent)))
+        links = links.unionByName(durable(_verified(_overlapping(more, marks, percent), texts, width, percent)))
+        freed(spark)
         found = components(links)
         mixed = _mixed(mixed, found)
+        del again, more
+        freed(spark)
         usual, crowded = _by_crowd(mixed, crowd)
-        last = durable(_verified(_across(usual, percent), texts, width, percent))
+        across = _overlapping(_across(usual, percent), marks, percent)
+        last = durable(_verified(across, texts, width, percent))
+        del usual, across
+        freed(spark)
         if crowded.limit(1).count():
             last = last.unionByName(_block_product(crowded, texts, width, percent, crowd))
         if last.limit(1).count():
@@ -395,9 +488,9 @@ def _by_crowd(mixed: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
 def _block_product(crowded: DataFrame, texts: DataFrame, width: int, percent: int, crowd: int) -> DataFrame:
     """Links between nodes of different components that meet in crowded columns alone."""
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = durable(_block_tasks(crowded, percent, crowd))
     dealt = (
-        _block_tasks(crowded, percent, crowd)
-        .join(texts, "node")
+        tasks.join(_needed(texts, tasks.select("node")), "node")
         .select("task", "node", "component", "text")
         .repartition(partitions, "task")
         .sortWithinPartitions("task", "node")

@@ -644,6 +644,37 @@ def test_pages_of_one_template_are_not_multiplied(spark, monkeypatch):
     assert sum(tasks) == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 300), st.integers(1, 300), st.floats(0, 1), st.integers(0, 99))
+def test_marks_bound_the_overlap(size, other_size, share, seed):
+    rng = np.random.default_rng(seed)
+    same = rng.integers(0, 2**64, int(share * min(size, other_size)), np.uint64)
+    one, other = (
+        np.unique(np.append(same, rng.integers(0, 2**64, n - len(same), np.uint64))) for n in (size, other_size)
+    )
+    most = shingles.most_overlap(shingles.marks_of(one), len(one), shingles.marks_of(other), len(other))
+    assert len(np.intersect1d(one, other)) <= most <= min(len(one), len(other))
+
+
+def test_pairs_that_share_a_passage_only_get_no_texts(spark, monkeypatch):
+    dealt, plain = [], shingles._verified
+
+    def counted(pairs, texts, width, percent):
+        dealt.append(pairs.count())
+        return plain(pairs, texts, width, percent)
+
+    monkeypatch.setattr(shingles, "_verified", counted)
+    rng = random.Random(29)
+    passage = words(rng, 50)
+    rows = [(i, passage + " " + words(rng, 50)) for i in range(40)]
+    rows += [(i, passage + " " + words(rng, 190)) for i in range(40, 60)]
+    rows.append((90, rows[7][1].replace(rows[7][1].split(" ")[70], "z")))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = shingles.near_duplicates(frame, "doc_id", "text").collect()
+    assert {r["key"]: r["component"] for r in found} == {i: 7 if i == 90 else i for i, _ in rows}
+    assert sum(dealt) < 10
+
+
 def test_kinds_that_can_link_on_crowded_columns_are_multiplied(spark):
     rows = [(k, 112, n, n) for n in range(300) for k in range(30)] + [
         (k, 112, n, n) for n in range(300, 600) for k in range(7)
